@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import ranking
+from weftline.plans import aggregates, ranking
 
-FAMILIES = (ranking,)
+FAMILIES = (ranking, aggregates)
 
 
 def queries() -> dict:

@@ -47,8 +47,8 @@ def top01_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT label, round(max({_COS.format(a="e.embedding", b="q.embedding")}), 6) AS similarity FROM embeddings e, embeddings q
-WHERE q.vec_id = 3 AND e.vec_id <> 3 GROUP BY label HAVING similarity >= 0.4 ORDER BY similarity DESC LIMIT 20""")
+SELECT e.label, round(max({_COS.format(a="e.embedding", b="q.embedding")}), 6) AS similarity FROM embeddings e, embeddings q
+WHERE q.vec_id = 3 AND e.vec_id <> 3 GROUP BY e.label HAVING similarity >= 0.4 ORDER BY similarity DESC LIMIT 20""")
 def top02_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Best similarity of each label's vectors to a probe: a handle's best phrase."""
     probe = _vectors(spark, sf).where("id = 3").select(F.col("v").alias("q"))
@@ -117,12 +117,12 @@ def top08_affinity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT user_id, event_type, count(*) AS hits, round(avg(value), 4) AS salience FROM events GROUP BY ALL),
+WITH n AS (SELECT user_id, event_type, count(*) AS hits, round(sum(value), 2) AS salience FROM events GROUP BY user_id, event_type),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY salience DESC, event_type) AS INTEGER) AS rank FROM n)
 SELECT user_id, event_type, hits, salience, rank FROM r WHERE rank <= 3""")
 def top11_evict(spark: SparkSession, sf: str) -> DataFrame:
     """The most salient nodes of each session stay, the others are evicted."""
-    n = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("hits"), F.round(F.avg("value"), 4).alias("salience"))
+    n = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("hits"), F.round(F.sum("value"), 2).alias("salience"))
     return R.top_per_group(n, ["user_id"], [F.desc("salience"), F.col("event_type")], 3)
 
 
@@ -148,7 +148,7 @@ def top13_pressure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT user_id, event_type, avg(value) AS s, row_number() OVER (PARTITION BY user_id ORDER BY avg(value) DESC, event_type) AS k FROM events GROUP BY ALL HAVING avg(value) >= 0.15)
+WITH r AS (SELECT user_id, event_type, avg(value) AS s, row_number() OVER (PARTITION BY user_id ORDER BY avg(value) DESC, event_type) AS k FROM events GROUP BY user_id, event_type HAVING avg(value) >= 0.15)
 SELECT user_id, substr(string_agg(upper(event_type[1]) || event_type[2:], ' / ' ORDER BY k), 1, 50) AS title FROM r WHERE k <= 3 GROUP BY user_id""")
 def top14_title(spark: SparkSession, sf: str) -> DataFrame:
     """A title from the three most salient labels."""
