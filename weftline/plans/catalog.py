@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, ranking
+from weftline.plans import aggregates, ranking, sequences
 
-FAMILIES = (ranking, aggregates)
+FAMILIES = (ranking, aggregates, sequences)
 
 
 def queries() -> dict:
