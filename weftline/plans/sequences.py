@@ -37,7 +37,7 @@ def _drift(spark: SparkSession, sf: str) -> DataFrame:
 @query(_DRIFT + """ SELECT session, turn, round(affect + 1e-12::DOUBLE, 6) AS affect, round(volatility + 1e-12::DOUBLE, 6) AS volatility, round(rigor + 1e-12::DOUBLE, 6) AS rigor, round(duration + 1e-12::DOUBLE, 6) AS duration, round(composite + 1e-12::DOUBLE, 6) AS composite,
 CASE WHEN composite <= CASE mode WHEN 'internal' THEN 0.54 ELSE 0.39 END THEN 'low' WHEN composite <= CASE mode WHEN 'internal' THEN 0.79 ELSE 0.69 END THEN 'medium' ELSE 'high' END AS severity, CAST(n AS INTEGER) AS "window" FROM c""")
 def win01_drift(spark: SparkSession, sf: str) -> DataFrame:
-    r = lambda c: F.round(c + 1e-12::DOUBLE, 6).alias(c)
+    r = lambda c: F.round(F.col(c) + 1e-12, 6).alias(c)  # noqa: E731 - halves go up in any engine
     return _drift(spark, sf).select("session", "turn", r("affect"), r("volatility"), r("rigor"), r("duration"), r("composite"), "severity", "window")
 
 
