@@ -11,12 +11,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,25 @@ BATCHED = 64
 #: Words a worker keeps encoded; at the limit the memory starts anew.
 REMEMBERED = 300_000
 
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+
+
+def _classes() -> tuple[str, str]:
+    """Letters and numbers as character ranges, by the general categories of the standard library."""
+    out: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for i in range(sys.maxunicode + 1):
+        ranges = out.get(unicodedata.category(chr(i))[0])
+        if ranges is not None:
+            if ranges and ranges[-1][1] == i - 1:
+                ranges[-1][1] = i
+            else:
+                ranges.append([i, i])
+    letters, numbers = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out[k]) for k in "LN")
+    return letters, numbers
+
+
+_LETTERS, _NUMBERS = _classes()
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 #: The same pieces for texts of ASCII and Latin letters, where the classes of re agree with it.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-ɏ]")
