@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,11 @@ class Scratch:
         out._weftline_path = path
         return out
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of finished plans now, not at its next collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in frames:
