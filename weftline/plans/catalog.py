@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, ranking, sequences
+from weftline.plans import aggregates, graphs, ranking, sequences
 
-FAMILIES = (ranking, aggregates, sequences)
+FAMILIES = (ranking, aggregates, sequences, graphs)
 
 
 def queries() -> dict:
