@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f"{home.name}/{f.relative_to(home)}")
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
 class Scratch:
     """Parquet tables in the shared scratch folder: they cut lineage and outlive lost executors.
 
