@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import ship
+
 #: Words of up to so many symbols share the batched tree.
 BATCHED = 64
 #: Words a worker keeps encoded; at the limit the memory starts anew.
@@ -314,6 +316,7 @@ def _joined(parts: list[str], bpe: Bpe, texts: bool):
 
 
 def _spelled(docs: DataFrame, spec: str, digest: bool) -> DataFrame:
+    ship(docs.sparkSession)
     ctx = docs.sparkSession.sparkContext
     shared = ctx.broadcast(spec)  # a vocabulary file, of fixed size
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import Scratch
+from weftline.session import Scratch, ship
 
 #: Least and greatest chunk in bytes; a boundary comes each 2**BITS bytes on average after the least.
 LEAST, GREATEST, BITS = 16, 256, 4
@@ -215,6 +215,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     besides doc_id and text are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import Scratch
+from weftline.session import Scratch, ship
 
 #: Up to so many shared digests (of 40 bytes) are broadcast to find the texts to compare.
 BROADCAST_DIGESTS = 100_000
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, digest: Callable[[bytes], str] = wide_digest)
     Null and empty texts share the fingerprint of the empty text. Columns besides doc_id and text
     are ignored, repeated rows stay, an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +217,7 @@ def edit_report(docs: DataFrame, digest: Callable[[bytes], str] = wide_digest) -
         names = ["doc_id", "n_chars", "edited_sha256", "digest", "edited_digest", "next_digest", "exact", "next_exact"]
         yield from _paired(batches, handle, pack)
 
+    ship(docs.sparkSession)
     dealt, size = _neighbours(docs)
     dealt = dealt.repartitionById(size, F.col("range")).sortWithinPartitions("range", "copy", "doc_id", "text")
     kinds = "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, next_digest string, exact string, next_exact string"

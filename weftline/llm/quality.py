@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import ship
+
 #: Bytes a chunk is long, and how far the next one begins: each byte lies in two chunks.
 CHUNK, STRIDE = 256, 128
 FILTERS, WIDTH = 8, 4
@@ -184,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_byte
 
 def scores(docs: DataFrame, net: ByteNet, column: str = "text") -> DataFrame:
     """(doc_id, score) of every row; null and empty texts have a score too."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a network of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
     net = train(docs, labels)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")

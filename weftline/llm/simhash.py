@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
-from weftline.session import Scratch
+from weftline.session import Scratch, ship
 
 SEED = 42
 #: Most fingerprints with one exact segment value that are compared inside a bucket; others go by balls.
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = np.fromiter((simhash(t.as_py(), width) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -173,6 +174,7 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 3, bucket_limit: int
         rest = _ball_links(near[0].unionByName(near[1]).distinct())
         if distance < 3:
             rest = rest.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    ship(fps.sparkSession)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
         marked.mapInArrow(_variants, "key long, fp long")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.session import Scratch
+from weftline.session import Scratch, ship
 
 #: Vectors in a shard and in a leaf at most; queries in a block.
 SHARD, LEAF, BLOCK = 8192, 32, 256
@@ -145,6 +145,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, column: str = "embed
     only vectors of one length are compared. Of rows that repeat a vec_id the least vector counts.
     An empty table gives no rows.
     """
+    ship(vectors.sparkSession)
     scratch = Scratch(vectors.sparkSession)
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(column).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     own = own.where("v is not null and vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("v", "q")).alias("r")).select("vec_id", "r.v", "r.q")
