@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, graphs, ranking, sequences
+from weftline.plans import aggregates, graphs, lookups, ranking, sequences, states
 
-FAMILIES = (ranking, aggregates, sequences, graphs)
+FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states)
 
 
 def queries() -> dict:
