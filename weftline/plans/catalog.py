@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, graphs, lookups, ranking, sequences, states
+from weftline.plans import aggregates, graphs, lookups, ranking, sequences, states, texts
 
-FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states)
+FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states, texts)
 
 
 def queries() -> dict:
