@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from weftline.functions import text as T
 
@@ -18,7 +19,7 @@ def label_index(entries: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min(F.struct("priority", "id")).alias("m")).select("key", "m.id")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two strings; Levenshtein distance is another measure."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
