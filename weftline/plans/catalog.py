@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, compositions, graphs, lookups, ranking, sequences, states, texts
+from weftline.plans import aggregates, compositions, details, graphs, lookups, ranking, sequences, states, texts
 
-FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states, texts, compositions)
+FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states, texts, compositions, details)
 
 
 def queries() -> dict:
