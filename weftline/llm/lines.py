@@ -11,7 +11,7 @@ and of each component the first line, by document and line number, stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
-from weftline.session import Scratch
+from weftline.session import Scratch, ship
 
 #: Characters in a shingle, and least similarity of linked lines.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -28,6 +28,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 13, 5
 #: Most lines of a bucket that are compared at once.
 BLOCK = 1024
+#: Bits of the filter of candidate lines, a power of two: 4 MB.
+FILTER_BITS = 1 << 25
 _FUNCTIONS = 2
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
@@ -113,66 +115,115 @@ def _digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct lines of some documents, with band values and the places where they stand."""
-    for whole in batches:
-        docs, keys, texts = whole.column(0).to_pylist(), whole.column(1).to_pylist(), whole.column(2)
-        start = 0
-        while start < len(docs):
-            found: dict[str, list[tuple]] = {}
-            size, i = 0, start
-            while i < len(docs) and size < 250_000:
-                text = texts[i].as_py() or ""
-                size += len(text) + 1
-                for no, line in enumerate(text.split("\n")):
-                    if line := normalised(line):
-                        found.setdefault(line, []).append((docs[i], keys[i], no))
-                i += 1
-            start = i
-            if not found:
-                continue
-            lines = list(found)
-            bands = signatures(lines)
-            offsets = pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32))
-            counts = np.cumsum([0, *(len(x) for x in found.values())]).astype(np.int32)
-            flat = [p for x in found.values() for p in x]
+def _id(digest: bytes) -> int:
+    """64 bits that name a line in the index; lines that share them meet in the join with the texts, each as itself."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _distinct(batch: pa.RecordBatch) -> dict[str, list[tuple]]:
+    """The distinct lines of a batch of (doc_id, row_key, text), normalised, with the places where they stand."""
+    found: dict[str, list[tuple]] = {}
+    for doc, key, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+        doc, key = doc.as_py(), key.as_py()
+        for no, line in enumerate((text.as_py() or "").split("\n")):
+            if line := normalised(line):
+                found.setdefault(line, []).append((doc, key, no))
+    return found
+
+
+def _parts(lines: Iterable[str], limit: int = 250_000) -> Iterator[list[str]]:
+    part, size = [], 0
+    for line in lines:
+        part.append(line)
+        size += len(line)
+        if size >= limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, id, bands, places) of the distinct lines of a batch."""
+    for batch in batches:
+        found = _distinct(batch)
+        for part in _parts(found):
+            bands = signatures(part)
+            digests = [_digest(x) for x in part]
+            places = [found[x] for x in part]
+            flat = [p for x in places for p in x]
             place = pa.StructArray.from_arrays(
-                [pa.array([p[k] for p in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "row_key", "line_no"]
+                [pa.array([p[j] for p in flat], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "row_key", "line_no"]
             )
+            counts = np.cumsum([0, *map(len, places)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([_digest(x) for x in lines], pa.binary()),
-                    pa.array(lines, pa.string()),
-                    pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())),
+                    pa.array(digests, pa.binary()),
+                    pa.array([_id(d) for d in digests], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
                     pa.ListArray.from_arrays(pa.array(counts), place),
                 ],
-                ["line", "text", "bands", "places"],
+                ["line", "id", "bands", "places"],
             )
 
 
+def _texts(bits: bytes):
+    """(id, line, text) of the lines whose bit is set in the filter of candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(_distinct(batch), 2_000_000):
+                rows = [(_id(d), d, x) for x, d in ((x, _digest(x)) for x in part) if _held(bits, _id(d))]
+                kinds = (pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "line", "text"])
+
+    return run
+
+
+def _held(bits: bytes, id_: int) -> bool:
+    at = id_ & (FILTER_BITS - 1)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def candidate_filter(members: DataFrame) -> bytes:
+    """A bit for each id, by its low bits, in a map of fixed size: at most FILTER_BITS / 64 words reach the driver.
+
+    A bit may be set for other ids too; they are left out by the join that follows. When the map is full
+    it lets every line pass, which costs a larger exchange and changes no result.
+    """
+    at = F.col("id").bitwiseAND(FILTER_BITS - 1)
+    word = F.shiftright(at, 6)
+    one = F.expr(f"shiftleft(1L, CAST((id & {FILTER_BITS - 1}) & 63 AS INT))")
+    words = members.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, "<i8")
+    for w in words:
+        out[w.word] = w.bits
+    return out.tobytes()
+
+
 _PLACE = "struct<doc_id:long,row_key:long,line_no:int>"
 
 
 def _buckets(limit: int):
-    """(key, line) sorted -> (key, block, line) of buckets with two lines or more.
+    """(key, id) sorted -> (key, block, id) of buckets with two ids or more.
 
     A bucket within the limit is renamed after its members, so that equal ones fall together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        def out(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["key", "block", "line"]
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["key", "block", "id"]
             )
 
         key, own, done = None, [], 0
-        rows: list[tuple[int, int, bytes]] = []
+        rows: list[tuple[int, int, int]] = []
 
         def end() -> None:
             if done:
                 rows.extend((key, done, x) for x in own)
             elif len(own) > 1:
-                name = xxhash.xxh64_intdigest(b"".join(own)) >> 1
+                name = xxhash.xxh64_intdigest(np.array(own, np.int64).tobytes()) >> 1
                 rows.extend((name, 0, x) for x in own)
 
         for b in batches:
@@ -182,8 +233,8 @@ def _buckets(limit: int):
                 continue
             same = keys[1:] == keys[:-1]
             multi = np.flatnonzero(np.r_[keys[0] == key, same] | np.r_[same, True])
-            lines = b.column(1).take(pa.array(multi)).to_pylist()
-            for k, line in zip(keys[multi].tolist(), lines, strict=True):
+            ids = b.column(1).to_numpy()[multi].tolist()
+            for k, line in zip(keys[multi].tolist(), ids, strict=True):
                 if k != key:
                     end()
                     key, own, done = k, [], 0
@@ -247,51 +298,115 @@ def verified_forest(lines: list[str], similarity: float, cut: int | None = None)
             live[y] = False
 
 
+def _sorted_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingle hashes of each line, in order."""
+    h, begin = shingles(lines)
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(h)], strict=True):
+        h[a:b].sort()
+    new = np.r_[True, h[1:] != h[:-1]]
+    new[begin] = True
+    return np.split(h[new], np.cumsum(np.add.reduceat(new, begin, dtype=np.int64))[:-1])
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _small_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """The same for a few lines, by their sorted sets."""
+    out: list[tuple[int, int]] = []
+    rest = list(range(len(sets)))
+    while len(rest) > 1:
+        queue = [rest.pop(0)]
+        while queue and rest:
+            x = queue.pop()
+            own, far = sets[x], []
+            for y in rest:
+                other = sets[y]
+                low, high = sorted((len(own), len(other)))
+                if low >= similarity * high - 1e-9 and (both := _shared(own, other)) >= similarity * (low + high - both) - 1e-9:
+                    out.append((x, y))
+                    queue.append(y)
+                else:
+                    far.append(y)
+            rest = far
+    return out
+
+
 def _links(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, []
+        done: list[tuple[tuple, list]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            ids, blocks = [x[0] for x in own], [x[1] for x in own]
-            cut = blocks.count(key[1]) if key[1] != key[2] else None
-            pairs = verified_forest([x[2] for x in own], similarity, cut) if len(own) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+            few = [own for key, own in done if key[1] == key[2] and len(own) <= 12]
+            found = _sorted_sets([x[2] for own in few for x in own]) if few else []
+            a, b, at = [], [], 0
+            for own in few:
+                sets = found[at : at + len(own)]
+                at += len(own)
+                for x, y in _small_forest(sets, similarity):
+                    a.append(own[x][0])
+                    b.append(own[y][0])
+            for key, own in done:
+                if key[1] == key[2] and len(own) <= 12:
+                    continue
+                cut = sum(x[1] == key[1] for x in own) if key[1] != key[2] else None
+                for x, y in verified_forest([x[2] for x in own], similarity, cut):
+                    a.append(own[x][0])
+                    b.append(own[y][0])
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-        for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(6)]
-            for k, lo, hi, block, line, text in zip(*cols, strict=True):
+        key, own = None, []
+        for batch in batches:
+            for k, lo, hi, block, line, text in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
                 if (k, lo, hi) != key:
-                    if own:
+                    if len(own) > 1:
+                        done.append((key, own))
+                        size += len(own)
+                    if size >= 1000:
                         yield out()
+                        size = 0
                     key, own = (k, lo, hi), []
+                if own and own[-1][0] == line:  # another batch held the line too
+                    continue
                 own.append((line, block, text))
-        if own:
-            yield out()
+        if len(own) > 1:
+            done.append((key, own))
+        yield out()
 
     return run
 
 
-def line_links(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links between distinct lines ``lines(line, text, bands)`` that connect every linked pair."""
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def line_links(own: DataFrame, index: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b): verified links between lines of ``own(doc_id, row_key, text)``, by digest, that connect every linked pair.
+
+    ``index(line, id, bands, places)`` holds their bands.
+    """
+    ship(own.sparkSession)
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = (
-        lines.select(F.explode("bands").alias("key"), "line")
+        index.select(F.explode("bands").alias("key"), "id")
         .repartition(n, "key")
-        .sortWithinPartitions("key", "line")
-        .mapInArrow(_buckets(block), "key long, block int, line binary")
+        .sortWithinPartitions("key", "id")
+        .mapInArrow(_buckets(block), "key long, block int, id long")
         .distinct()
     )
     members = scratch.save(members)
+    scratch.tidy()
     last = members.groupBy("key").agg(F.max("block").alias("last")).where("last > 0")
-    some = members.select("line").distinct()
-    texts = lines.select("line", "text").join(some, "line", "left_semi").dropDuplicates(["line"])
     paired = (
         members.join(last, "key", "left")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "line")
+        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id")
     )
+    bits = candidate_filter(members)
+    texts = own.mapInArrow(_texts(bits), "id long, line binary, text string")  # a line once a batch; the links skip repeats
     return (
-        paired.join(texts, "line")
+        paired.join(texts, "id")
         .select("key", "lo", "hi", "block", "line", "text")
         .repartition(n, "key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "block", "line")
@@ -309,10 +424,14 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     """
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    lines = scratch.save(own.mapInArrow(_lines_of, f"line binary, text string, bands array<long>, places array<{_PLACE}>"))
-    comp = connected_components(line_links(lines, scratch, similarity, block), scratch).select(F.col("node").alias("line"), "component")
+    ship(docs.sparkSession)
+    lines = scratch.save(own.mapInArrow(_indexed, f"line binary, id long, bands array<long>, places array<{_PLACE}>"))
+    linked = scratch.save(line_links(own, lines, scratch, similarity, block))
+    scratch.tidy()
+    comp = connected_components(linked, scratch).select(F.col("node").alias("line"), "component")
     each = lines.select("line", F.array_min("places").alias("first"), F.size("places").alias("n")).groupBy("line").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     rooted = scratch.save(each.join(comp, "line", "left").withColumn("root", F.coalesce("component", "line")))
+    scratch.tidy()
     roots = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").drop("n")
     kept = rooted.select("line", "root").join(roots, "root").select("line", "kept")
     gone = lines.select("line", "places").join(kept, "line").select("kept", F.explode("places").alias("p")).where("p <> kept")
