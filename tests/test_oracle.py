@@ -1,8 +1,7 @@
 """Every query of the catalog against its SQL in DuckDB."""
 
-import math
-
 import duckdb
+import pandas as pd
 import pytest
 
 from weftline.plans import catalog
@@ -19,7 +18,7 @@ def con(sf):
 
 
 def value(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if pd.isna(v):
         return "null"
     if isinstance(v, bool):
         return str(v)
