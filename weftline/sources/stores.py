@@ -99,6 +99,7 @@ def latex_to_plain(text: Column) -> Column:
         (r"[{}$~]", " "),
         (r"[ \t]+", " "),
         (r"\n{3,}", "\n\n"),
+        (r"^\s+|\s+$", ""),
     ):
         out = F.regexp_replace(out, pattern, into)
-    return F.trim(out)
+    return out
