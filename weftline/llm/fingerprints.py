@@ -238,7 +238,9 @@ def edit_report(docs: DataFrame, digest: Callable[[bytes], str] = wide_digest) -
             yield pa.RecordBatch.from_arrays([pa.array([digest(r) for r in raws], pa.string()), pa.array(raws, pa.binary())], ["digest", "canon"])
 
     originals = docs.select(F.col("text").cast("string")).mapInArrow(canons, "digest string, canon binary").join(wanted, "digest", "left_semi")
-    again = told.join(shared, told["edited_digest"] == shared["digest"], "left_semi").select("exact", "next_exact", "n_chars").distinct()
+    # distinct first: copies followed by copies are one pair of texts, however many there are
+    pairs = told.select("exact", "next_exact", "edited_digest").distinct()
+    again = pairs.join(shared, pairs["edited_digest"] == shared["digest"], "left_semi").select("exact", "next_exact").distinct()
     candidates = originals.unionByName(_edited_again(docs, scratch.save(again), digest, scratch))
     below = scratch.save(_compared(candidates))
     plain = told.select(
