@@ -205,6 +205,19 @@ def test_repeated_spans_match_brute_force(docs, rows, least):
     assert got == brute_spans(keyed(rows), least)
 
 
+def test_first_of_spans_in_many_batches(spark, docs):
+    rows = [(i, f"Begin of {i}. {' '.join(f'shared{k}' for k in range(60))} End of {i}.") for i in range(10, 50)] + [(r.doc_id + 100, r.text) for r in docs.collect()]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "8")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(5, "doc_id")
+        got = sorted((str(r.doc_id), r.row_key, r.begin, r.finish, str(r.first_doc_id), r.kept) for r in chunks.repeated_spans(df).collect())
+    finally:
+        spark.conf.set(size, before)
+    assert got == brute_spans(keyed(rows), chunks.MIN_BYTES)
+
+
 def test_spans_of_planted_passages(edge, empty):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     found = chunks.repeated_spans(edge).collect()

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.session import Scratch, ship
@@ -78,11 +79,12 @@ def chunk(text: str | None) -> list[bytes]:
 
 _SPECIES = "digest binary, doc_id long, row_key long, begin int, finish int, first_doc long, first_key long, first_begin int, here boolean"
 _NAMES = ["digest", "doc_id", "row_key", "begin", "finish", "first_doc", "first_key", "first_begin", "here"]
+_PLACE = ("doc_id", "row_key", "begin")
 _NULL = -(1 << 63)
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk places; a digest goes to the exchange once a batch, later places in it are known repeats."""
+    """Chunk places; a digest goes to the exchange once a batch, later places in it are known repeats and name that head."""
     for whole in batches:
         ids, keys, texts = whole.column(0), whole.column(1), whole.column(2)
         start = 0
@@ -222,10 +224,12 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     places = own.mapInArrow(_chunked, _SPECIES)
     heads = places.where("digest is not null").select("digest", "doc_id", "row_key", "begin", "finish", "here")
     found = "doc_id long, row_key long, begin int, finish int, first_doc long, first_key long, first_begin int"
-    known = places.where("digest is null").select("doc_id", "row_key", "begin", "finish", "first_doc", "first_key", "first_begin")
-    repeats = (
-        heads.repartition(n, "digest").sortWithinPartitions("digest", "doc_id", "row_key", "begin").mapInArrow(_first_of_digest, found).unionByName(known)
-    )
+    led = heads.repartition(n, "digest").sortWithinPartitions("digest", "doc_id", "row_key", "begin").mapInArrow(_first_of_digest, found)
+    led = led.select("doc_id", "row_key", "begin", "finish", F.struct("first_doc", "first_key", "first_begin").alias("first"), *(F.col(c).alias(f"head_{c}") for c in _PLACE))
+    # known repeats take the first that their head has got
+    known = places.where("digest is null").select("doc_id", "row_key", "begin", "finish", F.lit(None).cast(led.schema["first"].dataType).alias("first"), *(F.col(f"first_{a}").alias(f"head_{c}") for a, c in zip(("doc", "key", "begin"), _PLACE, strict=True)))
+    of_head = F.max("first").over(W.partitionBy(*(f"head_{c}" for c in _PLACE)))
+    repeats = led.unionByName(known).select("doc_id", "row_key", "begin", "finish", of_head.alias("first")).select("doc_id", "row_key", "begin", "finish", "first.*")
     spans = repeats.repartition(n, "doc_id", "row_key").sortWithinPartitions("doc_id", "row_key", "begin").mapInArrow(
         _spans(min_bytes), "doc_id long, row_key long, begin int, finish int, first_doc long, kept boolean"
     )
