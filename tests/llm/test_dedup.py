@@ -218,6 +218,26 @@ def test_first_of_spans_in_many_batches(spark, docs):
     assert got == brute_spans(keyed(rows), chunks.MIN_BYTES)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 10_000])
+def test_repeated_rows_count_as_one_document(spark, batch):
+    shared = " ".join(f"shared{k}" for k in range(60))
+    alone = " ".join(f"alone{k}" for k in range(60))
+    rows = [(1, f"One begins. {shared} One ends."), (2, f"Two begins. {shared} Two ends."), (3, alone), (4, shared), (None, f"None begins. {shared}")]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(batch))
+    try:
+        for times in (rows * 3, [r for r in rows for _ in range(3)]):
+            df = spark.createDataFrame(times, "doc_id long, text string").coalesce(1)
+            got = sorted((str(r.doc_id), r.row_key, r.begin, r.finish, str(r.first_doc_id), r.kept) for r in chunks.repeated_spans(df).collect())
+            assert got == brute_spans(keyed(rows), chunks.MIN_BYTES)
+            assert {x[0] for x in got} == {"1", "2", "4", "None"}
+            cut = [r["__kept_text"] for r in chunks.without_repeats(df).where("doc_id = 2").collect()]
+            assert len(cut) == 3 and not any("shared30" in t for t in cut)
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_spans_of_planted_passages(edge, empty):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     found = chunks.repeated_spans(edge).collect()

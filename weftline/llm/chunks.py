@@ -90,12 +90,16 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         while start < whole.num_rows:
             seen: dict[bytes, int] = {}
+            met: set[tuple[int, int]] = set()
             digests, docs, rows, begins, ends, firsts = [], [], [], [], [], []
             while start < whole.num_rows and len(digests) < 150_000:
                 raw = (texts[start].as_py() or "").encode("utf-8", "surrogatepass")
                 doc, key = ids[start].as_py(), keys[start].as_py()
                 doc = _NULL if doc is None else doc
                 start += 1
+                if (doc, key) in met:  # a repeated row
+                    continue
+                met.add((doc, key))
                 stops = boundaries(np.frombuffer(raw, dtype=np.uint8))
                 a = 0
                 for b in stops:
@@ -150,24 +154,32 @@ def _first_of_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
         return batch, (d[-1], first[0][-1], first[1][-1], first[2][-1])
 
-    head, held = None, None
-    for b in batches:
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        if b.num_rows < 2:
-            held = b
-            continue
-        held, b = b.slice(b.num_rows - 1), b.slice(0, b.num_rows - 1)  # whether the last repeats, the next batch tells
-        peek = held.column(0)[0].as_py()
+    def places(b: pa.RecordBatch) -> tuple[list, list[np.ndarray], np.ndarray]:
+        """Digests, places and whether they repeat in a batch; a place that repeated rows gave more than once is one."""
         d = b.column(0).to_pylist()
         cols = [b.column(k).to_numpy() for k in (1, 2, 3, 4)]
         here = b.column(5).to_numpy(zero_copy_only=False).astype(bool)
-        here[-1] |= d[-1] == peek
-        batch, head = out(d, cols, here, head)
+        again = np.logical_and.reduce([x[1:] == x[:-1] for x in cols[:3]])
+        for k in np.flatnonzero(again).tolist():
+            again[k] = d[k + 1] == d[k]
+        if not again.any():
+            return d, cols, here
+        starts = np.flatnonzero(np.r_[True, ~again])
+        return [d[k] for k in starts.tolist()], [x[starts] for x in cols], np.logical_or.reduceat(here, starts)
+
+    head, held = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        d, cols, here = places(b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0])
+        held = pa.RecordBatch.from_arrays([pa.array(d[-1:], b.schema.types[0]), *(pa.array(x[-1:]) for x in (*cols, here))], schema=b.schema)
+        if len(d) < 2:
+            continue  # whether the last repeats, the next batch tells
+        here[-2] |= d[-2] == d[-1]
+        batch, head = out(d[:-1], [x[:-1] for x in cols], here[:-1], head)
         yield batch
     if held is not None:
-        here = held.column(5).to_numpy(zero_copy_only=False).astype(bool)
-        batch, _ = out(held.column(0).to_pylist(), [held.column(k).to_numpy() for k in (1, 2, 3, 4)], here, head)
+        batch, _ = out(*places(held), head)
         yield batch
 
 
@@ -176,6 +188,7 @@ def _spans(min_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
+        last = None
         rows: list[list] = []
 
         def end() -> None:
@@ -189,11 +202,12 @@ def _spans(min_bytes: int):
         names = ["doc_id", "row_key", "begin", "finish", "first_doc", "kept"]
         for b in batches:
             for doc, key, begin, finish, fdoc, fkey, fbegin in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
-                kept = (fdoc, fkey, fbegin) == (doc, key, begin)
+                if last == (doc, key, begin):
+                    continue  # a repeated row
+                last = (doc, key, begin)
+                kept = (fdoc, fkey, fbegin) == last
                 if now is not None and now[0] == doc and now[1] == key and now[3] == begin and now[5] == kept:
                     now[3] = finish
-                elif now is not None and now[0] == doc and now[1] == key and now[2] == begin:
-                    continue  # a repeated row
                 else:
                     end()
                     now = [doc, key, begin, finish, fdoc, kept]
