@@ -307,3 +307,18 @@ def test_short_lines_and_signature_recall():
     assert sig.shape == (43, lines.BANDS)
     hits = [bool((sig[i] == sig[j]).any()) for i in range(40) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
     assert hits and sum(hits) / len(hits) > 0.97
+
+
+def test_recall_by_line_length(spark):
+    rng = np.random.default_rng(8)
+    sizes, pairs = (4, 8, 16, 48, 60, 64, 100), 300  # shingles of the shorter line; the longer one has a quarter more
+    rows = []
+    for k, n in enumerate(sizes):
+        for i in range(pairs):
+            line = "".join(chr(c) for c in rng.integers(ord("a"), ord("z") + 1, n + 4 + n // 4))
+            at = 2 * (k * pairs + i)
+            rows += [(at, line[: n + 4]), (at + 1, line)]
+    removed = [r.doc_id for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert all(i % 2 for i in removed)
+    found = np.bincount([i // 2 // pairs for i in removed], minlength=len(sizes)) / pairs
+    assert (found > 0.97).all(), found

@@ -2,7 +2,8 @@
 
 Lines are compared as sets of character shingles of their normalised form. Each distinct line gets
 a one-permutation MinHash signature (two independent hash functions, their bins densified by
-rotation); signatures are cut into high-recall bands; lines that share a band value form a bucket.
+rotation), or, where its shingles are too few for the bins, a MinHash of one function for each row;
+lines between both kinds have both. Signatures are cut into high-recall bands; lines that share a band value form a bucket.
 Inside a bucket every link is verified by exact Jaccard similarity of the shingle sets, and only a
 spanning forest of the links leaves it. Buckets with the same members are compared once, and a
 bucket beyond the limit is compared block by block. Components come from distributed union-find,
@@ -26,12 +27,16 @@ from weftline.session import Scratch, ship
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows in a band: a pair at 0.8 shares a band with probability 0.994, at 0.85 with 0.999.
 BANDS, ROWS = 13, 5
+#: Lines of fewer distinct shingles have no one-permutation signature: their bins would be empty and copy one another.
+FEW = 80
 #: Most lines of a bucket that are compared at once.
 BLOCK = 1024
 #: Bits of the filter of candidate lines, a power of two: 4 MB.
 FILTER_BITS = 1 << 25
 _FUNCTIONS = 2
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_TIMES = np.array([xxhash.xxh64_intdigest(bytes([k]), seed=11) | 1 for k in range(BANDS * ROWS)], np.uint64)
+_PLUS = np.array([xxhash.xxh64_intdigest(bytes([k]), seed=12) for k in range(BANDS * ROWS)], np.uint64)
 _FACTORS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -111,6 +116,49 @@ def signatures(lines: list[str]) -> np.ndarray:
     return key.view(np.int64)
 
 
+def full_signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Band values of lines by the least of their shingle hashes under BANDS * ROWS functions; other values than those of ``signatures``."""
+    key = np.zeros((len(begin), BANDS), np.uint64) + np.arange(BANDS, 2 * BANDS, dtype=np.uint64)
+    if not len(begin):
+        return key.view(np.int64)
+    h = _mixed(h, 0)
+    x = np.empty_like(h)
+    for r in range(ROWS):
+        low = np.empty((len(begin), BANDS), np.uint64)
+        for b in range(BANDS):
+            np.multiply(h, _TIMES[r * BANDS + b], out=x)
+            x += _PLUS[r * BANDS + b]
+            low[:, b] = np.minimum.reduceat(x, begin)
+        key = _mixed(key * _GOLD + low, r + 1)
+    return key.view(np.int64)
+
+
+def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Band values of all lines in one array, and how many each line has.
+
+    Lines of fewer than FEW distinct shingles have the full signature and the others the one-permutation one.
+    Lines that can be SIMILARITY like both kinds have both, so that each pair at it meets under one kind.
+    """
+    h, begin = shingles(lines)
+    sizes = np.diff(np.r_[begin, len(h)])
+    for i in np.flatnonzero(sizes >= FEW).tolist():
+        sizes[i] = len(np.unique(h[begin[i] : begin[i] + sizes[i]]))
+    full, many = np.flatnonzero(sizes * SIMILARITY <= FEW), np.flatnonzero(sizes >= FEW)
+    counts = np.zeros(len(lines), np.int64)
+    counts[full] += BANDS
+    counts[many] += BANDS
+    ends = np.cumsum(counts)
+    out = np.empty(counts.sum(), np.int64)
+    step = np.arange(BANDS)
+    if len(full):
+        own = [h[a:b] for a, b in zip(begin[full].tolist(), np.r_[begin[1:], len(h)][full].tolist(), strict=True)]
+        lens = np.array([len(x) for x in own])
+        out[(ends - counts)[full][:, None] + step] = full_signatures(np.concatenate(own), np.cumsum(lens) - lens)
+    if len(many):
+        out[(ends - BANDS)[many][:, None] + step] = signatures([lines[i] for i in many.tolist()])
+    return out, counts
+
+
 def _digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
@@ -148,7 +196,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = _distinct(batch)
         for part in _parts(found):
-            bands = signatures(part)
+            bands, n_bands = line_bands(part)
             digests = [_digest(x) for x in part]
             places = [found[x] for x in part]
             flat = [p for x in places for p in x]
@@ -160,7 +208,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(digests, pa.binary()),
                     pa.array([_id(d) for d in digests], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_bands)].astype(np.int32)), pa.array(bands)),
                     pa.ListArray.from_arrays(pa.array(counts), place),
                 ],
                 ["line", "id", "bands", "places"],
