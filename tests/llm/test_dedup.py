@@ -92,6 +92,12 @@ def test_simhash_edges(edge, empty):
     assert 1 in kept and 5 not in kept and kept.count(9) == 2 and None in kept
 
 
+def test_rows_that_share_an_id_go_by_their_own_component(spark):
+    a, b = "the first text of some plain words that stand here", "another one about quite different things, longer than the first"
+    df = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (None, b)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in simhash.keep_one(df).collect()) == sorted([("3", a), ("7", b), ("None", b)])
+
+
 def test_components_on_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(40)]
     hub = [(100, i) for i in range(101, 160)] + [(160, 160), (None, 5)]

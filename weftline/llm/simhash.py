@@ -45,15 +45,16 @@ def simhash(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of every text, one row per input row."""
+    """(doc_id, text_key, fp): xxhash64 and the signed 64-bit fingerprint of every text, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((simhash(t.as_py(), width) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((simhash(t.as_py(), width) for t in b.column(2)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -193,6 +194,11 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, bucket_l
     like any other. Repeated rows stay, equal fingerprints are one node. A null doc_id is ignored in
     the minimum; an empty table gives no rows. Columns besides doc_id and text are ignored.
     """
+    return _with_components(docs, distance, width, bucket_limit).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _with_components(docs: DataFrame, distance: int, width: int, bucket_limit: int) -> DataFrame:
+    """(doc_id, text_key, fp, component_id) for every document."""
     scratch = Scratch(docs.sparkSession)
     own = scratch.save(fingerprints(docs, width))
     nodes = scratch.save(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -201,14 +207,15 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, bucket_l
     rooted = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(by_fp, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
     """``docs`` without the documents whose component holds one with a smaller doc_id.
 
-    All columns stay. Of rows that repeat the kept doc_id all stay; rows with a null doc_id stay.
+    All columns stay. Of rows that repeat the kept doc_id all stay; rows with a null doc_id stay. Of rows
+    that share a doc_id but not the text each goes by its own component.
     """
-    found = near_duplicates(docs, distance, width)
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    found = _with_components(docs, distance, width, BUCKET_LIMIT)
+    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__text"]), "left_anti")
