@@ -289,9 +289,9 @@ def brute_lines(rows):
     return {(d, k): [no for no, n in v if best[comp[n]][1] != (d, k, no)] for (d, k), v in own.items()}
 
 
-@pytest.mark.parametrize("block", [2, lines.BLOCK])
-def test_removed_lines_match_brute_force(docs, rows, block):
-    got = {(r.doc_id, r.row_key): r.removed for r in lines.removed_lines(docs, block=block).collect()}
+@pytest.mark.parametrize(("block", "run"), [(2, lines.RUN), (3, 32), (lines.BLOCK, lines.RUN)])
+def test_removed_lines_match_brute_force(docs, rows, block, run):
+    got = {(r.doc_id, r.row_key): r.removed for r in lines.removed_lines(docs, block=block, run=run).collect()}
     want = {k: v for k, v in brute_lines(keyed(rows)).items() if v}
     assert got == want
 
@@ -315,6 +315,14 @@ def test_short_lines_and_signature_recall():
     assert hits and sum(hits) / len(hits) > 0.97
 
 
+def test_lines_that_stand_in_many_places(spark):
+    line, near = "one line that stands in each and every document of them all", "one line that stands in each and every document of them all!"
+    rows = [(i, f"{line}\nown line of the document with the number {i * 7919}\n{line}") for i in range(50)] + [(50, near), (51, None)]
+    got = {r.doc_id: r.removed for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    want = brute_lines(keyed(rows))
+    assert got == {d: v for (d, _), v in want.items() if v} and got[50] == [0] and got[0][0] > 0 and 51 not in got
+
+
 def test_recall_by_line_length(spark):
     rng = np.random.default_rng(8)
     sizes, pairs = (4, 8, 16, 48, 60, 64, 100), 300  # shingles of the shorter line; the longer one has a quarter more

@@ -1,13 +1,16 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared as sets of character shingles of their normalised form. Each distinct line gets
+Lines are compared as sets of character shingles of their normalised form. Equal lines are brought
+together first, and one table, bucketed by line, holds the text of each once. Each distinct line gets
 a one-permutation MinHash signature (two independent hash functions, their bins densified by
 rotation), or, where its shingles are too few for the bins, a MinHash of one function for each row;
-lines between both kinds have both. Signatures are cut into high-recall bands; lines that share a band value form a bucket.
-Inside a bucket every link is verified by exact Jaccard similarity of the shingle sets, and only a
-spanning forest of the links leaves it. Buckets with the same members are compared once, and a
-bucket beyond the limit is compared block by block. Components come from distributed union-find,
-and of each component the first line, by document and line number, stays.
+lines between both kinds have both. Signatures are cut into high-recall bands, whose values are
+exchanged as packed runs of numbers; lines that share a band value form a bucket. Inside a bucket
+every link is verified by exact Jaccard similarity of the shingle sets, and only a spanning forest of
+the links leaves it. Buckets with the same members are compared once. A bucket beyond the limit is
+cut into blocks: each is compared with itself and with the first, and lines which that leaves outside
+the component of the first block are compared with all others. Components come from distributed
+union-find, and of each component the first line, by document and line number, stays.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
@@ -31,8 +35,12 @@ BANDS, ROWS = 13, 5
 FEW = 80
 #: Most lines of a bucket that are compared at once.
 BLOCK = 1024
-#: Bits of the filter of candidate lines, a power of two: 4 MB.
-FILTER_BITS = 1 << 25
+#: Places of a line in a batch that stand in the line's own row; the others go in rows dealt apart from it.
+INLINE = 16
+#: Band values that are sorted at once, 16 bytes each with their line.
+RUN = 1 << 22
+#: Bits of the map that counts distinct shingles from below.
+_MAP = 512
 _FUNCTIONS = 2
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TIMES = np.array([xxhash.xxh64_intdigest(bytes([k]), seed=11) | 1 for k in range(BANDS * ROWS)], np.uint64)
@@ -88,8 +96,11 @@ def _densified(low: np.ndarray) -> np.ndarray:
 
 def signatures(lines: list[str]) -> np.ndarray:
     """Band values of each line, as signed 64-bit numbers in an array of lines by bands."""
-    h, begin = shingles(lines)
-    n = len(lines)
+    return _binned(*shingles(lines))
+
+
+def _binned(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    n = len(begin)
     line = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.r_[begin, len(h)]))
     total, parts = BANDS * ROWS, []
     for f in range(_FUNCTIONS):
@@ -133,6 +144,25 @@ def full_signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _distinct_sizes(h: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Distinct shingles of each line, exact where it matters for the kind of its signature.
+
+    The bits that a line's shingles set in a small map are no more than its distinct shingles, so only
+    lines whose map leaves the question open are sorted.
+    """
+    out, at = sizes.copy(), sizes >= FEW
+    if not at.any():
+        return out
+    bits = np.zeros(len(sizes) * _MAP, bool)
+    line = np.repeat(np.arange(len(sizes), dtype=np.int64) * _MAP, sizes)
+    line += (h >> np.uint64(40)).view(np.int64) & (_MAP - 1)
+    bits[line] = True
+    seen = bits.reshape(-1, _MAP).sum(axis=1)
+    for i in np.flatnonzero(at & (seen * SIMILARITY <= FEW)).tolist():
+        out[i] = len(np.unique(h[begin[i] : begin[i] + sizes[i]]))
+    return out
+
+
 def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Band values of all lines in one array, and how many each line has.
 
@@ -140,9 +170,8 @@ def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Lines that can be SIMILARITY like both kinds have both, so that each pair at it meets under one kind.
     """
     h, begin = shingles(lines)
-    sizes = np.diff(np.r_[begin, len(h)])
-    for i in np.flatnonzero(sizes >= FEW).tolist():
-        sizes[i] = len(np.unique(h[begin[i] : begin[i] + sizes[i]]))
+    lens = np.diff(np.r_[begin, len(h)])
+    sizes = _distinct_sizes(h, begin, lens)
     full, many = np.flatnonzero(sizes * SIMILARITY <= FEW), np.flatnonzero(sizes >= FEW)
     counts = np.zeros(len(lines), np.int64)
     counts[full] += BANDS
@@ -151,29 +180,37 @@ def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(counts.sum(), np.int64)
     step = np.arange(BANDS)
     if len(full):
-        own = [h[a:b] for a, b in zip(begin[full].tolist(), np.r_[begin[1:], len(h)][full].tolist(), strict=True)]
-        lens = np.array([len(x) for x in own])
-        out[(ends - counts)[full][:, None] + step] = full_signatures(np.concatenate(own), np.cumsum(lens) - lens)
+        part, first = _taken(h, begin, lens, full)
+        out[(ends - counts)[full][:, None] + step] = full_signatures(part, first)
     if len(many):
-        out[(ends - BANDS)[many][:, None] + step] = signatures([lines[i] for i in many.tolist()])
+        part, first = _taken(h, begin, lens, many)
+        out[(ends - BANDS)[many][:, None] + step] = _binned(part, first)
     return out, counts
 
 
+def _taken(h: np.ndarray, begin: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of some lines alone, and where each line's begin."""
+    if len(at) == len(lens):
+        return h, begin
+    n = lens[at]
+    first = np.cumsum(n) - n
+    return h[np.repeat(begin[at] - first, n) + np.arange(n.sum())], first
+
+
 def _digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def _id(digest: bytes) -> int:
-    """64 bits that name a line in the index; lines that share them meet in the join with the texts, each as itself."""
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _rank(place: tuple) -> tuple:
+    doc, key, no = place
+    return doc is not None, doc or 0, key, no
 
 
 def _distinct(batch: pa.RecordBatch) -> dict[str, list[tuple]]:
     """The distinct lines of a batch of (doc_id, row_key, text), normalised, with the places where they stand."""
     found: dict[str, list[tuple]] = {}
-    for doc, key, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-        doc, key = doc.as_py(), key.as_py()
-        for no, line in enumerate((text.as_py() or "").split("\n")):
+    for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for no, line in enumerate((text or "").split("\n")):
             if line := normalised(line):
                 found.setdefault(line, []).append((doc, key, no))
     return found
@@ -191,112 +228,148 @@ def _parts(lines: Iterable[str], limit: int = 250_000) -> Iterator[list[str]]:
         yield part
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(line, id, bands, places) of the distinct lines of a batch."""
+_PLACE = "struct<doc_id:long,row_key:long,line_no:int>"
+_SPLIT = f"line binary, text string, n long, places array<{_PLACE}>"
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _SPLIT: the distinct lines of a batch, each with its number of places and the first of them.
+
+    Places beyond INLINE follow in rows without a text and with n = 0.
+    """
     for batch in batches:
         found = _distinct(batch)
-        for part in _parts(found):
-            bands, n_bands = line_bands(part)
-            digests = [_digest(x) for x in part]
-            places = [found[x] for x in part]
-            flat = [p for x in places for p in x]
+        for part in _parts(found, 2_000_000):
+            rows: list[tuple[bytes, str | None, int, list[tuple]]] = []
+            for x in part:
+                digest, at = _digest(x), found[x]
+                if len(at) > INLINE:
+                    at.sort(key=_rank)
+                rows.append((digest, x, len(at), at[:INLINE]))
+                rows.extend((digest, None, 0, at[k : k + INLINE]) for k in range(INLINE, len(at), INLINE))
+            flat = [p for r in rows for p in r[3]]
             place = pa.StructArray.from_arrays(
                 [pa.array([p[j] for p in flat], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "row_key", "line_no"]
             )
-            counts = np.cumsum([0, *map(len, places)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(digests, pa.binary()),
-                    pa.array([_id(d) for d in digests], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_bands)].astype(np.int32)), pa.array(bands)),
-                    pa.ListArray.from_arrays(pa.array(counts), place),
-                ],
-                ["line", "id", "bands", "places"],
-            )
+            ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.binary(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), place)], ["line", "text", "n", "places"])
 
 
-def _texts(bits: bytes):
-    """(id, line, text) of the lines whose bit is set in the filter of candidates."""
+def line_table(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """(slot, line, text, n, first, places) of the lines of ``own(doc_id, row_key, text)``, bucketed by slot.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(_distinct(batch), 2_000_000):
-                rows = [(_id(d), d, x) for x, d in ((x, _digest(x)) for x in part) if _held(bits, _id(d))]
-                kinds = (pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "line", "text"])
+    slot is xxhash64 of the line's digest. One row of each line has its text, the number of its places in
+    all and the first of them; its other rows have more places and no text. Places beyond INLINE
+    of a batch are dealt over all slots, so that no slot holds all places of a line that stands everywhere.
+    """
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.col("places")[0]
+    slot = F.when(F.col("n") == 0, F.xxhash64("line", at["doc_id"], at["row_key"], at["line_no"])).otherwise(F.xxhash64("line"))
+    rows = own.mapInArrow(_split, _SPLIT).withColumn("slot", slot).withColumn("first", F.array_min("places")).repartition(n, "slot")
+    same = W.partitionBy("slot", "line").orderBy(F.col("n") == 0, "first")
+    lead = (F.row_number().over(same) == 1) & (F.col("n") > 0)
+    total = F.sum("n").over(same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return scratch.save_bucketed(rows.select("slot", "line", F.when(lead, F.col("text")).alias("text"), F.when(lead, total).otherwise(F.col("n")).alias("n"), "first", "places"), "slot", n)
 
-    return run
 
+def _packed(bits: int):
+    """(slot, text) -> (part, keys, slots): band values, sorted, as packed numbers; a part is the first bits of a value."""
 
-def _held(bits: bytes, id_: int) -> bool:
-    at = id_ & (FILTER_BITS - 1)
-    return bool(bits[at >> 3] >> (at & 7) & 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        slots: list[np.ndarray] = []
+        size = 0
 
+        def out() -> pa.RecordBatch:
+            key = np.concatenate(keys).view(np.uint64)
+            order = np.argsort(key)
+            key = key[order]
+            part = (key >> np.uint64(64 - bits)).view(np.int64) if bits else np.zeros(len(key), np.int64)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = pa.py_buffer(np.r_[first, len(key)].astype(np.int32) * np.int32(8))
+            values = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x)]) for x in (key, np.concatenate(slots)[order])]
+            keys.clear()
+            slots.clear()
+            return pa.RecordBatch.from_arrays([pa.array(part[first]), *values], ["part", "keys", "slots"])
 
-def candidate_filter(members: DataFrame) -> bytes:
-    """A bit for each id, by its low bits, in a map of fixed size: at most FILTER_BITS / 64 words reach the driver.
+        for batch in batches:
+            at, own = 0, batch.column(0).to_numpy()
+            for lines in _parts(batch.column(1).to_pylist()):
+                bands, counts = line_bands(lines)
+                keys.append(bands)
+                slots.append(np.repeat(own[at : at + len(lines)], counts))
+                at += len(lines)
+                size += len(bands)
+                if size >= RUN:
+                    yield out()
+                    size = 0
+        if size:
+            yield out()
 
-    A bit may be set for other ids too; they are left out by the join that follows. When the map is full
-    it lets every line pass, which costs a larger exchange and changes no result.
-    """
-    at = F.col("id").bitwiseAND(FILTER_BITS - 1)
-    word = F.shiftright(at, 6)
-    one = F.expr(f"shiftleft(1L, CAST((id & {FILTER_BITS - 1}) & 63 AS INT))")
-    words = members.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 64, "<i8")
-    for w in words:
-        out[w.word] = w.bits
-    return out.tobytes()
+    return run
 
 
-_PLACE = "struct<doc_id:long,row_key:long,line_no:int>"
+_MEMBERS = "key long, block int, slot long"
 
 
-def _buckets(limit: int):
-    """(key, id) sorted -> (key, block, id) of buckets with two ids or more.
+def _buckets(limit: int, run_size: int = RUN):
+    """(part, keys, slots) sorted by part -> (key, block, slot) of buckets with two lines or more.
 
-    A bucket within the limit is renamed after its members, so that equal ones fall together.
+    A bucket within the limit is renamed after its members, so that equal ones fall together. A part with
+    more values than a run is taken run by run; its buckets are given whole, those of one line too, with
+    blocks numbered on.
     """
 
+    def members(keys: np.ndarray, slots: np.ndarray, run: int | None) -> pa.RecordBatch:
+        order = np.argsort(keys)
+        key, slot = keys[order], slots[order]
+        if run is None:  # a key alone between two others has no bucket; most are
+            same = key[1:] == key[:-1]
+            multi = np.r_[same, False] | np.r_[False, same]
+            key, slot = key[multi], slot[multi]
+        order = np.lexsort((slot, key))
+        key, slot = key[order], slot[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])] if len(key) else np.zeros(0, bool)
+        key, slot = key[new], slot[new]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[first, len(key)])
+        block = np.zeros(len(key), np.int32)
+        name = key.copy()
+        if run is not None:
+            at = np.arange(len(key)) - np.repeat(first, sizes)
+            block = (at // limit + run * (run_size // limit + 1)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(block), pa.array(slot)], ["key", "block", "slot"])
+        for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
+            if n > limit:
+                block[a : a + n] = np.arange(n) // limit
+            elif n > 1:
+                name[a : a + n] = xxhash.xxh64_intdigest(slot[a : a + n].tobytes()) >> 1
+        some = np.repeat(sizes > 1, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(block[some]), pa.array(slot[some])], ["key", "block", "slot"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["key", "block", "id"]
-            )
+        part, held, size, runs = None, [], 0, 0
 
-        key, own, done = None, [], 0
-        rows: list[tuple[int, int, int]] = []
-
-        def end() -> None:
-            if done:
-                rows.extend((key, done, x) for x in own)
-            elif len(own) > 1:
-                name = xxhash.xxh64_intdigest(np.array(own, np.int64).tobytes()) >> 1
-                rows.extend((name, 0, x) for x in own)
-
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            # a key alone between two others has no bucket; most are, and only the rest are walked
-            if not len(keys):
-                continue
-            same = keys[1:] == keys[:-1]
-            multi = np.flatnonzero(np.r_[keys[0] == key, same] | np.r_[same, True])
-            ids = b.column(1).to_numpy()[multi].tolist()
-            for k, line in zip(keys[multi].tolist(), ids, strict=True):
-                if k != key:
-                    end()
-                    key, own, done = k, [], 0
-                if own and own[-1] == line:
-                    continue
-                if len(own) == limit:
-                    rows.extend((key, done, x) for x in own)
-                    own, done = [], done + 1
-                own.append(line)
-            if len(rows) > 20_000:
-                yield out(rows)
-                rows.clear()
-        end()
-        yield out(rows)
+        def taken(last: bool) -> pa.RecordBatch:
+            keys, slots = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (0, 1))
+            held.clear()
+            return members(keys, slots, None if last and not runs else runs)
+
+        for batch in batches:
+            for p, k, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if held and p != part:
+                    yield taken(True)
+                if p != part:
+                    part, size, runs = p, 0, 0
+                k, s = k.as_buffer(), s.as_buffer()
+                if held and size + k.size // 8 > run_size:
+                    yield taken(False)
+                    size, runs = 0, runs + 1
+                held.append((k, s))
+                size += k.size // 8
+        if held:
+            yield taken(True)
 
     return run
 
@@ -429,40 +502,69 @@ def _links(similarity: float):
     return run
 
 
-def line_links(own: DataFrame, index: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links between lines of ``own(doc_id, row_key, text)``, by digest, that connect every linked pair.
+def _pair_groups(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, lo, hi, block, slot): what is compared first; and the members of buckets of several blocks, if any.
 
-    ``index(line, id, bands, places)`` holds their bands.
+    Each block meets itself, and in buckets of several blocks each meets the least one.
     """
-    ship(own.sparkSession)
-    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = members.where("block > 0").select("key").distinct()
+    own = members.select("key", F.col("block").alias("lo"), F.col("block").alias("hi"), "block", "slot")
+    if hot.isEmpty():
+        return own, None
+    many = members.join(hot, "key")
+    blocks = many.groupBy("key").agg(F.min("block").alias("base"), F.max("block").alias("last")).where("last > base").drop("last")
+    many = many.join(blocks, "key")
+    others = many.where("block > base").select("key", "base", F.col("block").alias("hi")).distinct()
+    with_base = many.where("block = base").join(others, ["key", "base"])
+    cross = many.where("block > base").select("key", F.col("base").alias("lo"), F.col("block").alias("hi"), "block", "slot")
+    return own.unionByName(cross).unionByName(with_base.select("key", F.col("base").alias("lo"), "hi", "block", "slot")), many
+
+
+def _rest_groups(many: DataFrame, found: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """The comparisons that the first ones leave open in buckets of several blocks.
+
+    Lines beyond the least block that are in the component of its first line need no more comparison with one another; each of
+    the rest is compared with all lines beyond the least block. Blocks of the rest have negative numbers.
+    """
+    comp = connected_components(found.select("a", "b"), scratch).select(F.xxhash64("node").alias("slot"), "component")
+    placed = scratch.save(many.join(comp, "slot", "left").withColumn("in", F.coalesce(F.xxhash64("component"), F.col("slot"))))
+    heart = placed.where("block = base").groupBy("key").agg(F.min_by("in", "slot").alias("heart"))
+    outer = placed.where("block > base").join(heart, "key")
+    number = W.partitionBy("key", "block").orderBy("slot")
+    rest = outer.where(F.col("in") != F.col("heart")).withColumn("at", -1 - F.col("block") - F.floor((F.row_number().over(number) - 1) / block).cast("int"))
+    rest = scratch.save(rest.select("key", "at", "slot").distinct())
+    pairs = rest.select("key", "at").distinct().join(outer.select("key", "block").distinct(), "key")
+    left = pairs.join(rest, ["key", "at"]).select("key", F.col("at").alias("lo"), F.col("block").alias("hi"), F.col("at").alias("block"), "slot")
+    right = pairs.join(outer.select("key", "block", "slot"), ["key", "block"]).select("key", F.col("at").alias("lo"), F.col("block").alias("hi"), "block", "slot")
+    return left.unionByName(right)
+
+
+def line_links(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """(a, b): verified links between the lines of a ``line_table``, by digest, that connect every linked pair."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lead = lines.where("text is not null")
+    # parts of half a run in the mean, and several a partition
+    parts = max(lead.count() * 2 * BANDS / run, 4 * n)
     members = (
-        index.select(F.explode("bands").alias("key"), "id")
-        .repartition(n, "key")
-        .sortWithinPartitions("key", "id")
-        .mapInArrow(_buckets(block), "key long, block int, id long")
-        .distinct()
-    )
-    members = scratch.save(members)
+        lead.select("slot", "text").mapInArrow(_packed(min(int(np.ceil(np.log2(parts))), 40)), "part long, keys binary, slots binary")
+        .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_buckets(block, run), _MEMBERS).distinct()
+    )
+    members = scratch.save(members, dictionary=False)
     scratch.tidy()
-    last = members.groupBy("key").agg(F.max("block").alias("last")).where("last > 0")
-    paired = (
-        members.join(last, "key", "left")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id")
-    )
-    bits = candidate_filter(members)
-    texts = own.mapInArrow(_texts(bits), "id long, line binary, text string")  # a line once a batch; the links skip repeats
-    return (
-        paired.join(texts, "id")
-        .select("key", "lo", "hi", "block", "line", "text")
-        .repartition(n, "key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi", "block", "line")
-        .mapInArrow(_links(similarity), "a binary, b binary")
-    )
+
+    def verified(groups: DataFrame) -> DataFrame:
+        texts = groups.hint("shuffle_hash").join(lead.select("slot", "line", "text"), "slot")
+        dealt = texts.select("key", "lo", "hi", "block", "line", "text").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block", "line")
+        return dealt.mapInArrow(_links(similarity), "a binary, b binary")
+
+    groups, many = _pair_groups(members)
+    found = scratch.save(verified(groups), dictionary=False)
+    if many is None:
+        return found
+    return found.unionByName(scratch.save(verified(_rest_groups(many, found, scratch, block))))
 
 
-def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """(doc_id, row_key, removed): numbers, from 0, of the lines of a text that repeat an earlier line.
 
     row_key is xxhash64 of the text. Documents that lose no line have no row. Lines that are blank
@@ -473,16 +575,19 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
     ship(docs.sparkSession)
-    lines = scratch.save(own.mapInArrow(_indexed, f"line binary, id long, bands array<long>, places array<{_PLACE}>"))
-    linked = scratch.save(line_links(own, lines, scratch, similarity, block))
+    lines = line_table(own, scratch)
     scratch.tidy()
-    comp = connected_components(linked, scratch).select(F.col("node").alias("line"), "component")
-    each = lines.select("line", F.array_min("places").alias("first"), F.size("places").alias("n")).groupBy("line").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    rooted = scratch.save(each.join(comp, "line", "left").withColumn("root", F.coalesce("component", "line")))
+    linked = line_links(lines, scratch, similarity, block, run)
     scratch.tidy()
-    roots = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    kept = rooted.select("line", "root").join(roots, "root").select("line", "kept")
-    gone = lines.select("line", "places").join(kept, "line").select("kept", F.explode("places").alias("p")).where("p <> kept")
+    comp = connected_components(linked, scratch).select(F.xxhash64("node").alias("slot"), F.col("node").alias("line"), "component")
+    lead = lines.where("text is not null").select("slot", "line", "first", "n").join(comp, ["slot", "line"], "left")
+    repeated = scratch.save(lead.where("n > 1 or component is not null").drop("n"))
+    roots = repeated.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
+    alone = repeated.where("component is null").select("slot", "line", F.col("first").alias("kept"))
+    kept = scratch.save(alone.unionByName(repeated.join(roots, "component").select("slot", "line", "kept")))
+    gone = lines.where("n > 0").select("slot", "line", "places").join(kept, ["slot", "line"]).select("places", "kept")
+    far = lines.where("n = 0").select("line", "places").join(kept.select("line", "kept"), "line").select("places", "kept")
+    gone = gone.unionByName(far).select("kept", F.explode("places").alias("p")).where("p <> kept")
     return gone.groupBy("p.doc_id", "p.row_key").agg(F.array_sort(F.collect_set("p.line_no")).alias("removed"))
 
 
@@ -498,7 +603,10 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     joined = docs.withColumn("__text_key", F.xxhash64(text)).join(
         gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"
     )
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    # the split text is bound once, and each line found by its number: linear in very long texts
+    split = F.split(text, "\n", -1)
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
+    kept = F.transform(F.array(split), lambda all_: F.array_join(F.transform(numbers, lambda i: F.get(all_, i)), "\n"))[0]
     return joined.select(
         *[joined[c] for c in docs.columns],
         F.when(F.col("__gone").isNull(), text).otherwise(kept).alias("__kept_text"),
