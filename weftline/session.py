@@ -80,7 +80,8 @@ class Scratch:
         """The same, bucketed: joins and groups on ``column`` need no exchange of the table. It is in no catalogue afterwards."""
         self.n += 1
         path, name = f"{self.base}/{self.n}", f"weftline_{uuid.uuid4().hex}"
-        df.write.bucketBy(n, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        options = {"path": path, "compression": "zstd", "parquet.enable.dictionary": "false"}
+        df.write.bucketBy(n, column).options(**options).format("parquet").saveAsTable(name)
         out = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")
         out._weftline_path = path
