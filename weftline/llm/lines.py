@@ -201,21 +201,6 @@ def _digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def _rank(place: tuple) -> tuple:
-    doc, key, no = place
-    return doc is not None, doc or 0, key, no
-
-
-def _distinct(batch: pa.RecordBatch) -> dict[str, list[tuple]]:
-    """The distinct lines of a batch of (doc_id, row_key, text), normalised, with the places where they stand."""
-    found: dict[str, list[tuple]] = {}
-    for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-        for no, line in enumerate((text or "").split("\n")):
-            if line := normalised(line):
-                found.setdefault(line, []).append((doc, key, no))
-    return found
-
-
 def _parts(lines: Iterable[str], limit: int = 250_000) -> Iterator[list[str]]:
     part, size = [], 0
     for line in lines:
@@ -233,44 +218,81 @@ _SPLIT = f"line binary, text string, n long, places array<{_PLACE}>"
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _SPLIT: the distinct lines of a batch, each with its number of places and the first of them.
+    """Rows of _SPLIT: the distinct lines of a batch of (doc_id, row_key, text), each with its number of places and the first of them.
 
-    Places beyond INLINE follow in rows without a text and with n = 0.
+    Places beyond INLINE follow in rows without a text and with n = 0. Places are in order: null ids first, then by id, key and number.
     """
     for batch in batches:
-        found = _distinct(batch)
-        for part in _parts(found, 2_000_000):
-            rows: list[tuple[bytes, str | None, int, list[tuple]]] = []
-            for x in part:
-                digest, at = _digest(x), found[x]
-                if len(at) > INLINE:
-                    at.sort(key=_rank)
-                rows.append((digest, x, len(at), at[:INLINE]))
-                rows.extend((digest, None, 0, at[k : k + INLINE]) for k in range(INLINE, len(at), INLINE))
-            flat = [p for r in rows for p in r[3]]
-            place = pa.StructArray.from_arrays(
-                [pa.array([p[j] for p in flat], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "row_key", "line_no"]
-            )
-            ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
-            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.binary(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), place)], ["line", "text", "n", "places"])
+        found: dict[str, int] = {}
+        line_at, doc_at, no_at = [], [], []
+        for doc, text in enumerate(batch.column(2).to_pylist()):
+            for no, line in enumerate(text.lower().split("\n") if text else ()):
+                if line := " ".join(line.split()):
+                    line_at.append(found.setdefault(line, len(found)))
+                    doc_at.append(doc)
+                    no_at.append(no)
+        if not found:
+            continue
+        ids = batch.column(0)
+        null, doc_id, key = (np.asarray(x) for x in (ids.is_null(), ids.fill_null(0), batch.column(1)))
+        place = np.lexsort((key, doc_id, ~null))
+        rank = np.empty(len(place), np.int64)
+        rank[place] = np.arange(len(place))
+        line, doc, no = (np.array(x, np.int64) for x in (line_at, doc_at, no_at))
+        order = np.argsort((line * len(place) + rank[doc]), kind="stable")  # numbers of a document already ascend
+        line, doc, no = line[order], doc[order], no[order]
+        counts = np.bincount(line, minlength=len(found))
+        nth = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own = nth < INLINE
+        row = np.where(own, 0, line * (len(line) + 1) + nth // INLINE)[~own]  # a row for INLINE places more
+        more = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        at = np.r_[np.flatnonzero(own), np.flatnonzero(~own)]
+        sizes = np.r_[np.minimum(counts, INLINE), np.diff(np.r_[more, len(row)])]
+        places = pa.StructArray.from_arrays([pa.array(doc_id[doc[at]], mask=null[doc[at]]), pa.array(key[doc[at]]), pa.array(no[at].astype(np.int32))], ["doc_id", "row_key", "line_no"])
+        lines = list(found)
+        digests = pa.array([_digest(x) for x in lines], pa.binary())
+        extra = line[~own][more]
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([digests, digests.take(pa.array(extra))]),
+                pa.concat_arrays([pa.array(lines, pa.string()), pa.nulls(len(extra), pa.string())]),
+                pa.array(np.r_[counts, np.zeros(len(extra), np.int64)]),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), places),
+            ],
+            ["line", "text", "n", "places"],
+        )
+        for start in range(0, out.num_rows, 8192):
+            yield out.slice(start, 8192)
 
 
 def line_table(own: DataFrame, scratch: Scratch) -> DataFrame:
-    """(slot, line, text, n, first, places) of the lines of ``own(doc_id, row_key, text)``, bucketed by slot.
+    """(slot, row, line, text, n, first, places) of the lines of ``own(doc_id, row_key, text)``, bucketed by slot.
 
-    slot is xxhash64 of the line's digest. One row of each line has its text, the number of its places in
-    all and the first of them; its other rows have more places and no text. Places beyond INLINE
-    of a batch are dealt over all slots, so that no slot holds all places of a line that stands everywhere.
+    slot is xxhash64 of the line's digest, row a number of the row. A line has a row for each batch that holds it, with its
+    text, the number of its places there, the first of them, and no more than INLINE of them. Places beyond that
+    are in rows without a text, dealt over all slots, so that no slot holds all places of a line that stands everywhere.
     """
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.col("places")[0]
     slot = F.when(F.col("n") == 0, F.xxhash64("line", at["doc_id"], at["row_key"], at["line_no"])).otherwise(F.xxhash64("line"))
-    rows = own.mapInArrow(_split, _SPLIT).withColumn("slot", slot).withColumn("first", F.array_min("places")).repartition(n, "slot")
-    same = W.partitionBy("slot", "line").orderBy(F.col("n") == 0, "first")
-    lead = (F.row_number().over(same) == 1) & (F.col("n") > 0)
-    total = F.sum("n").over(same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return scratch.save_bucketed(rows.select("slot", "line", F.when(lead, F.col("text")).alias("text"), F.when(lead, total).otherwise(F.col("n")).alias("n"), "first", "places"), "slot", n)
+    rows = own.mapInArrow(_split, _SPLIT).select(slot.alias("slot"), F.monotonically_increasing_id().alias("row"), "line", "text", "n", at.alias("first"), "places")
+    return scratch.save_bucketed(rows.repartition(n, "slot"), "slot", n)
+
+
+def _on_slot(few: DataFrame, many: DataFrame, also: str, how: str = "inner") -> DataFrame:
+    """Joins on slot and on the column ``also``, where ``many`` or both are bucketed by slot.
+
+    Only slot is a join key, as the buckets do not know the other one; an order of two equals is no key to
+    Catalyst. ``few`` is hashed, ``many`` streams without an exchange or a sort.
+    """
+    other = few.withColumnsRenamed({"slot": "__slot", also: "__also"}).hint("shuffle_hash")
+    same = (F.col("slot") == F.col("__slot")) & (F.least(F.col(also), F.col("__also")) == F.greatest(F.col(also), F.col("__also")))
+    return many.join(other, same, how).drop("__slot", "__also")
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    """(slot, line, row, total): each line of a ``line_table`` once, with the row whose text stands for all, and its places in all."""
+    return lines.where("n > 0").groupBy("slot", "line").agg(F.min("row").alias("row"), F.sum("n").alias("total"))
 
 
 def _packed(bits: int):
@@ -542,18 +564,19 @@ def _rest_groups(many: DataFrame, found: DataFrame, scratch: Scratch, block: int
 def line_links(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """(a, b): verified links between the lines of a ``line_table``, by digest, that connect every linked pair."""
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lead = lines.where("text is not null")
+    rows = lines.where("n > 0")
     # parts of half a run in the mean, and several a partition
-    parts = max(lead.count() * 2 * BANDS / run, 4 * n)
+    parts = max(rows.count() * 2 * BANDS / run, 4 * n)
     members = (
-        lead.select("slot", "text").mapInArrow(_packed(min(int(np.ceil(np.log2(parts))), 40)), "part long, keys binary, slots binary")
+        rows.select("slot", "text").mapInArrow(_packed(min(int(np.ceil(np.log2(parts))), 40)), "part long, keys binary, slots binary")
         .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_buckets(block, run), _MEMBERS).distinct()
     )
     members = scratch.save(members, dictionary=False)
     scratch.tidy()
 
     def verified(groups: DataFrame) -> DataFrame:
-        texts = groups.hint("shuffle_hash").join(lead.select("slot", "line", "text"), "slot")
+        named = groups.hint("shuffle_hash").join(_heads(lines).drop("total"), "slot")
+        texts = _on_slot(named, rows.select("slot", "row", "text"), "row")
         dealt = texts.select("key", "lo", "hi", "block", "line", "text").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block", "line")
         return dealt.mapInArrow(_links(similarity), "a binary, b binary")
 
@@ -580,14 +603,14 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     linked = line_links(lines, scratch, similarity, block, run)
     scratch.tidy()
     comp = connected_components(linked, scratch).select(F.xxhash64("node").alias("slot"), F.col("node").alias("line"), "component")
-    lead = lines.where("text is not null").select("slot", "line", "first", "n").join(comp, ["slot", "line"], "left")
-    repeated = scratch.save(lead.where("n > 1 or component is not null").drop("n"))
-    roots = repeated.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
-    alone = repeated.where("component is null").select("slot", "line", F.col("first").alias("kept"))
-    kept = scratch.save(alone.unionByName(repeated.join(roots, "component").select("slot", "line", "kept")))
-    gone = lines.where("n > 0").select("slot", "line", "places").join(kept, ["slot", "line"]).select("places", "kept")
-    far = lines.where("n = 0").select("line", "places").join(kept.select("line", "kept"), "line").select("places", "kept")
-    gone = gone.unionByName(far).select("kept", F.explode("places").alias("p")).where("p <> kept")
+    # most lines stand once and are like no other; only the rest go on
+    live = _on_slot(comp, _heads(lines).drop("row"), "line", "left").where("total > 1 or component is not null")
+    live = live.select("slot", "line", F.coalesce("component", "line").alias("root"))
+    rows = _on_slot(live, lines.where("n > 0").select("slot", "line", "first", "places"), "line")
+    rows = scratch.save(rows.select("line", "root", "first", "places"))
+    kept = rows.groupBy("root").agg(F.min("first").alias("kept"))
+    far = lines.where("n = 0").select("line", "places").join(rows.select("line", "root").distinct(), "line").select("root", "places")
+    gone = rows.select("root", "places").unionByName(far).join(kept, "root").select("kept", F.explode("places").alias("p")).where("p <> kept")
     return gone.groupBy("p.doc_id", "p.row_key").agg(F.array_sort(F.collect_set("p.line_no")).alias("removed"))
 
 
