@@ -37,8 +37,10 @@ FEW = 80
 BLOCK = 1024
 #: Places of a line in a batch that stand in the line's own row; the others go in rows dealt apart from it.
 INLINE = 16
-#: Band values that are sorted at once, 16 bytes each with their line.
+#: Band values that are sorted at once, 16 bytes each with their line and its sketch.
 RUN = 1 << 22
+#: Most bits in which the sketches of two lines, 32 rows at a bit each, differ for them to be compared: more have a pair at 0.8 with probability 0.0002.
+SKETCH_BITS = 10
 #: Bits of the map that counts distinct shingles from below.
 _MAP = 512
 _FUNCTIONS = 2
@@ -96,10 +98,16 @@ def _densified(low: np.ndarray) -> np.ndarray:
 
 def signatures(lines: list[str]) -> np.ndarray:
     """Band values of each line, as signed 64-bit numbers in an array of lines by bands."""
-    return _binned(*shingles(lines))
+    return _binned(*shingles(lines))[0]
 
 
-def _binned(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def _bits(rows: np.ndarray) -> np.ndarray:
+    """A sketch of each line: one bit of each of 32 rows of its signature, an array of lines by rows."""
+    return np.packbits((rows * _GOLD).view(np.int64) < 0, axis=1).view(np.uint32)[:, 0]
+
+
+def _binned(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band values and sketches by two functions of bins."""
     n = len(begin)
     line = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.r_[begin, len(h)]))
     total, parts = BANDS * ROWS, []
@@ -124,47 +132,51 @@ def _binned(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     key = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         key = _mixed(key * _GOLD + sig[:, order[:, r]], r + 1)
-    return key.view(np.int64)
+    return key.view(np.int64), _bits(sig[:, 1::2])
 
 
-def full_signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Band values of lines by the least of their shingle hashes under BANDS * ROWS functions; other values than those of ``signatures``."""
+def full_signatures(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band values and sketches of lines by the least of their shingle hashes under BANDS * ROWS functions; other values than those of ``signatures``."""
     key = np.zeros((len(begin), BANDS), np.uint64) + np.arange(BANDS, 2 * BANDS, dtype=np.uint64)
     if not len(begin):
-        return key.view(np.int64)
+        return key.view(np.int64), np.zeros(0, np.uint32)
     h = _mixed(h, 0)
     x = np.empty_like(h)
+    some = np.empty((len(begin), 32), np.uint64)
     for r in range(ROWS):
         low = np.empty((len(begin), BANDS), np.uint64)
         for b in range(BANDS):
             np.multiply(h, _TIMES[r * BANDS + b], out=x)
             x += _PLUS[r * BANDS + b]
             low[:, b] = np.minimum.reduceat(x, begin)
+        some[:, 6 * r : 6 * r + 6] = low[:, 1 : 2 * min(6, 32 - 6 * r) + 1 : 2]
         key = _mixed(key * _GOLD + low, r + 1)
-    return key.view(np.int64)
+    return key.view(np.int64), _bits(some)
 
 
 def _distinct_sizes(h: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Distinct shingles of each line, exact where it matters for the kind of its signature.
 
-    The bits that a line's shingles set in a small map are no more than its distinct shingles, so only
+    The bits that some of a line's shingles set in a small map are no more than its distinct shingles, so only
     lines whose map leaves the question open are sorted.
     """
-    out, at = sizes.copy(), sizes >= FEW
-    if not at.any():
+    out, at = sizes.copy(), np.flatnonzero(sizes >= FEW)
+    if not len(at):
         return out
-    bits = np.zeros(len(sizes) * _MAP, bool)
-    line = np.repeat(np.arange(len(sizes), dtype=np.int64) * _MAP, sizes)
-    line += (h >> np.uint64(40)).view(np.int64) & (_MAP - 1)
-    bits[line] = True
-    seen = bits.reshape(-1, _MAP).sum(axis=1)
-    for i in np.flatnonzero(at & (seen * SIMILARITY <= FEW)).tolist():
-        out[i] = len(np.unique(h[begin[i] : begin[i] + sizes[i]]))
+    n = np.minimum(sizes[at], _MAP // 2)
+    first = np.cumsum(n) - n
+    bits = np.zeros(len(at) * _MAP, bool)
+    part = h[np.repeat(begin[at] - first, n) + np.arange(n.sum())]
+    bits[np.repeat(np.arange(len(at), dtype=np.int64) * _MAP, n) + ((part >> np.uint64(40)).view(np.int64) & (_MAP - 1))] = True
+    seen = np.count_nonzero(bits.reshape(-1, _MAP), axis=1)
+    for i in at[seen * SIMILARITY <= FEW].tolist():
+        own = np.sort(h[begin[i] : begin[i] + sizes[i]])
+        out[i] = 1 + np.count_nonzero(own[1:] != own[:-1])
     return out
 
 
-def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Band values of all lines in one array, and how many each line has.
+def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band values of all lines in one array, the sketch of the same signature beside each, and how many each line has.
 
     Lines of fewer than FEW distinct shingles have the full signature and the others the one-permutation one.
     Lines that can be SIMILARITY like both kinds have both, so that each pair at it meets under one kind.
@@ -177,15 +189,15 @@ def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     counts[full] += BANDS
     counts[many] += BANDS
     ends = np.cumsum(counts)
-    out = np.empty(counts.sum(), np.int64)
+    out, sketches = np.empty(counts.sum(), np.int64), np.empty(counts.sum(), np.uint32)
     step = np.arange(BANDS)
-    if len(full):
-        part, first = _taken(h, begin, lens, full)
-        out[(ends - counts)[full][:, None] + step] = full_signatures(part, first)
-    if len(many):
-        part, first = _taken(h, begin, lens, many)
-        out[(ends - BANDS)[many][:, None] + step] = _binned(part, first)
-    return out, counts
+    for which, at, made in ((full, ends - counts, full_signatures), (many, ends - BANDS, _binned)):
+        if len(which):
+            place = at[which][:, None] + step
+            keys, bits = made(*_taken(h, begin, lens, which))
+            out[place] = keys
+            sketches[place] = bits[:, None]
+    return out, sketches, counts
 
 
 def _taken(h: np.ndarray, begin: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,11 +226,11 @@ def _parts(lines: Iterable[str], limit: int = 250_000) -> Iterator[list[str]]:
 
 
 _PLACE = "struct<doc_id:long,row_key:long,line_no:int>"
-_SPLIT = f"line binary, text string, n long, places array<{_PLACE}>"
+_SPLIT = f"line binary, text string, n long, first {_PLACE}, places array<{_PLACE}>"
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _SPLIT: the distinct lines of a batch of (doc_id, row_key, text), each with its number of places and the first of them.
+    """Rows of _SPLIT: the distinct lines of a batch of (doc_id, row_key, text), each with its number of places, the first place, and the first INLINE ones if there are several.
 
     Places beyond INLINE follow in rows without a text and with n = 0. Places are in order: null ids first, then by id, key and number.
     """
@@ -244,22 +256,29 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(line, minlength=len(found))
         nth = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
         own = nth < INLINE
-        row = np.where(own, 0, line * (len(line) + 1) + nth // INLINE)[~own]  # a row for INLINE places more
+        row = (line * (len(line) + 1) + nth // INLINE)[~own]  # a row for INLINE places more
         more = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-        at = np.r_[np.flatnonzero(own), np.flatnonzero(~own)]
-        sizes = np.r_[np.minimum(counts, INLINE), np.diff(np.r_[more, len(row)])]
-        places = pa.StructArray.from_arrays([pa.array(doc_id[doc[at]], mask=null[doc[at]]), pa.array(key[doc[at]]), pa.array(no[at].astype(np.int32))], ["doc_id", "row_key", "line_no"])
+        far = np.flatnonzero(~own)
+        own &= np.repeat(counts > 1, counts)  # a single place is the first one
+        at = np.r_[np.flatnonzero(own), np.flatnonzero(nth >= INLINE)]
+        sizes = np.r_[np.where(counts > 1, np.minimum(counts, INLINE), 0), np.diff(np.r_[more, len(row)])]
+        at_first = np.cumsum(counts) - counts
+
+        def struct(at: np.ndarray) -> pa.StructArray:
+            return pa.StructArray.from_arrays([pa.array(doc_id[doc[at]], mask=null[doc[at]]), pa.array(key[doc[at]]), pa.array(no[at].astype(np.int32))], ["doc_id", "row_key", "line_no"])
+
         lines = list(found)
         digests = pa.array([_digest(x) for x in lines], pa.binary())
-        extra = line[~own][more]
+        extra = line[far][more]
         out = pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([digests, digests.take(pa.array(extra))]),
                 pa.concat_arrays([pa.array(lines, pa.string()), pa.nulls(len(extra), pa.string())]),
                 pa.array(np.r_[counts, np.zeros(len(extra), np.int64)]),
-                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), places),
+                struct(np.r_[at_first, far[more]]),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), struct(at)),
             ],
-            ["line", "text", "n", "places"],
+            ["line", "text", "n", "first", "places"],
         )
         for start in range(0, out.num_rows, 8192):
             yield out.slice(start, 8192)
@@ -273,9 +292,8 @@ def line_table(own: DataFrame, scratch: Scratch) -> DataFrame:
     are in rows without a text, dealt over all slots, so that no slot holds all places of a line that stands everywhere.
     """
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.col("places")[0]
-    slot = F.when(F.col("n") == 0, F.xxhash64("line", at["doc_id"], at["row_key"], at["line_no"])).otherwise(F.xxhash64("line"))
-    rows = own.mapInArrow(_split, _SPLIT).select(slot.alias("slot"), F.monotonically_increasing_id().alias("row"), "line", "text", "n", at.alias("first"), "places")
+    slot = F.when(F.col("n") == 0, F.xxhash64("line", "first.doc_id", "first.row_key", "first.line_no")).otherwise(F.xxhash64("line"))
+    rows = own.mapInArrow(_split, _SPLIT).select(slot.alias("slot"), F.monotonically_increasing_id().alias("row"), "line", "text", "n", "first", "places")
     return scratch.save_bucketed(rows.repartition(n, "slot"), "slot", n)
 
 
@@ -295,32 +313,40 @@ def _heads(lines: DataFrame) -> DataFrame:
     return lines.where("n > 0").groupBy("slot", "line").agg(F.min("row").alias("row"), F.sum("n").alias("total"))
 
 
+#: Band values, lines and sketches of a part of the index, packed.
+_PACKED = "part long, keys binary, slots binary, sketches binary"
+
+
 def _packed(bits: int):
-    """(slot, text) -> (part, keys, slots): band values, sorted, as packed numbers; a part is the first bits of a value."""
+    """(slot, text) -> _PACKED: a part is the first bits of a band value, keys are the next 32, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         slots: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             key = np.concatenate(keys).view(np.uint64)
             order = np.argsort(key)
             key = key[order]
-            part = (key >> np.uint64(64 - bits)).view(np.int64) if bits else np.zeros(len(key), np.int64)
+            part = (key >> np.uint64(64 - bits)).view(np.int64)
             first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = pa.py_buffer(np.r_[first, len(key)].astype(np.int32) * np.int32(8))
-            values = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x)]) for x in (key, np.concatenate(slots)[order])]
-            keys.clear()
-            slots.clear()
-            return pa.RecordBatch.from_arrays([pa.array(part[first]), *values], ["part", "keys", "slots"])
+            ends = np.r_[first, len(key)].astype(np.int32)
+            short = (key >> np.uint64(32 - bits)).astype(np.uint32)
+            columns = (short, np.concatenate(slots)[order], np.concatenate(marks)[order])
+            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * np.int32(x.itemsize)), pa.py_buffer(x)]) for x in columns]
+            for held in (keys, slots, marks):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(part[first]), *packed], ["part", "keys", "slots", "sketches"])
 
         for batch in batches:
             at, own = 0, batch.column(0).to_numpy()
             for lines in _parts(batch.column(1).to_pylist()):
-                bands, counts = line_bands(lines)
+                bands, sketches, counts = line_bands(lines)
                 keys.append(bands)
                 slots.append(np.repeat(own[at : at + len(lines)], counts))
+                marks.append(sketches)
                 at += len(lines)
                 size += len(bands)
                 if size >= RUN:
@@ -335,61 +361,77 @@ def _packed(bits: int):
 _MEMBERS = "key long, block int, slot long"
 
 
+def _near(marks: np.ndarray) -> np.ndarray:
+    """Which of some sketches have another one near."""
+    far = np.bitwise_count(marks[:, None] ^ marks[None, :]) > SKETCH_BITS
+    return (~far).sum(axis=1) > 1
+
+
 def _buckets(limit: int, run_size: int = RUN):
-    """(part, keys, slots) sorted by part -> (key, block, slot) of buckets with two lines or more.
+    """_PACKED sorted by part -> (key, block, slot) of buckets with two lines or more.
 
-    A bucket within the limit is renamed after its members, so that equal ones fall together. A part with
-    more values than a run is taken run by run; its buckets are given whole, those of one line too, with
-    blocks numbered on.
+    Lines whose sketch is near no other one leave a bucket. A bucket within the limit is renamed after its
+    members, so that equal ones fall together. A part with more values than a run is taken run by run; its
+    buckets are given whole, those of one line too, with blocks numbered on.
     """
 
-    def members(keys: np.ndarray, slots: np.ndarray, run: int | None) -> pa.RecordBatch:
-        order = np.argsort(keys)
-        key, slot = keys[order], slots[order]
+    def members(part: int, short: np.ndarray, slots: np.ndarray, marks: np.ndarray, run: int | None) -> pa.RecordBatch:
         if run is None:  # a key alone between two others has no bucket; most are
+            order = np.argsort(short)
+            key = short[order]
             same = key[1:] == key[:-1]
-            multi = np.r_[same, False] | np.r_[False, same]
-            key, slot = key[multi], slot[multi]
-        order = np.lexsort((slot, key))
-        key, slot = key[order], slot[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])] if len(key) else np.zeros(0, bool)
-        key, slot = key[new], slot[new]
+            multi = order[np.r_[same, False] | np.r_[False, same]]
+            short, slots, marks = short[multi], slots[multi], marks[multi]
+        order = np.lexsort((slots, short))
+        short, slot, mark = short[order], slots[order], marks[order]
+        some = np.ones(len(short), bool)
+        some[1:] = (short[1:] != short[:-1]) | (slot[1:] != slot[:-1])
+        key, slot, mark = short[some].astype(np.int64) + (part << 32), slot[some], mark[some]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[first, len(key)])
         block = np.zeros(len(key), np.int32)
+        kept = np.ones(len(key), bool)
         name = key.copy()
         if run is not None:
             at = np.arange(len(key)) - np.repeat(first, sizes)
             block = (at // limit + run * (run_size // limit + 1)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(block), pa.array(slot)], ["key", "block", "slot"])
-        for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
-            if n > limit:
-                block[a : a + n] = np.arange(n) // limit
-            elif n > 1:
-                name[a : a + n] = xxhash.xxh64_intdigest(slot[a : a + n].tobytes()) >> 1
-        some = np.repeat(sizes > 1, sizes)
-        return pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(block[some]), pa.array(slot[some])], ["key", "block", "slot"])
+        else:
+            twos = first[sizes == 2]
+            close = np.bitwise_count(mark[twos] ^ mark[twos + 1]) <= SKETCH_BITS
+            kept[twos], kept[twos + 1] = close, close
+            kept[first[sizes == 1]] = False
+            for a, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                if n > limit:
+                    block[a : a + n] = np.arange(n) // limit
+                else:
+                    kept[a : a + n] = _near(mark[a : a + n])
+            full = np.add.reduceat(kept, first) if len(first) else first
+            for a, n in zip(first[full > 0].tolist(), sizes[full > 0].tolist(), strict=True):
+                if n <= limit:
+                    own = slot[a : a + n][kept[a : a + n]]
+                    name[a : a + n] = -1 - (xxhash.xxh64_intdigest(own.tobytes()) >> 1)
+        return pa.RecordBatch.from_arrays([pa.array(name[kept]), pa.array(block[kept]), pa.array(slot[kept])], ["key", "block", "slot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size, runs = None, [], 0, 0
 
         def taken(last: bool) -> pa.RecordBatch:
-            keys, slots = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (0, 1))
+            columns = [np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in enumerate((np.uint32, np.int64, np.uint32))]
             held.clear()
-            return members(keys, slots, None if last and not runs else runs)
+            return members(part, *columns, None if last and not runs else runs)
 
         for batch in batches:
-            for p, k, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for p, *row in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
                 if held and p != part:
                     yield taken(True)
                 if p != part:
                     part, size, runs = p, 0, 0
-                k, s = k.as_buffer(), s.as_buffer()
-                if held and size + k.size // 8 > run_size:
+                row = [x.as_buffer() for x in row]
+                if held and size + row[0].size // 4 > run_size:
                     yield taken(False)
                     size, runs = 0, runs + 1
-                held.append((k, s))
-                size += k.size // 8
+                held.append(row)
+                size += row[0].size // 4
         if held:
             yield taken(True)
 
@@ -401,9 +443,7 @@ def verified_forest(lines: list[str], similarity: float, cut: int | None = None)
 
     With ``cut``, only links between the first ``cut`` lines and the others are needed.
     """
-    h, begin = shingles(lines)
-    ends = np.r_[begin[1:], len(h)]
-    sets = [np.unique(h[a:b]) for a, b in zip(begin, ends, strict=True)]
+    sets = _sorted_sets(lines)
     size = np.array([len(x) for x in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(size) - size
@@ -568,7 +608,7 @@ def line_links(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
     # parts of half a run in the mean, and several a partition
     parts = max(rows.count() * 2 * BANDS / run, 4 * n)
     members = (
-        rows.select("slot", "text").mapInArrow(_packed(min(int(np.ceil(np.log2(parts))), 40)), "part long, keys binary, slots binary")
+        rows.select("slot", "text").mapInArrow(_packed(min(int(np.ceil(np.log2(parts))), 30)), _PACKED)
         .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_buckets(block, run), _MEMBERS).distinct()
     )
     members = scratch.save(members, dictionary=False)
@@ -610,7 +650,8 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     rows = scratch.save(rows.select("line", "root", "first", "places"))
     kept = rows.groupBy("root").agg(F.min("first").alias("kept"))
     far = lines.where("n = 0").select("line", "places").join(rows.select("line", "root").distinct(), "line").select("root", "places")
-    gone = rows.select("root", "places").unionByName(far).join(kept, "root").select("kept", F.explode("places").alias("p")).where("p <> kept")
+    places = F.when(F.size("places") > 0, F.col("places")).otherwise(F.array("first"))
+    gone = rows.select("root", places.alias("places")).unionByName(far).join(kept, "root").select("kept", F.explode("places").alias("p")).where("p <> kept")
     return gone.groupBy("p.doc_id", "p.row_key").agg(F.array_sort(F.collect_set("p.line_no")).alias("removed"))
 
 
