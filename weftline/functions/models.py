@@ -100,3 +100,34 @@ def mapped(df: DataFrame, f: Callable[[str], str], column: str, name: str) -> Da
         return values.map(f)
 
     return df.withColumn(name, run(F.col(column)))
+
+
+# How a claim can be checked, and what can come of it.
+METHODS, OUTCOMES = ("manual", "model", "external"), ("CONFIRMED", "CONTRADICTED", "UNRESOLVABLE")
+CONTEXT_CHARS, UNSURE = 2000, 0.5
+
+
+def verified(claims: DataFrame, verifier: Extractor, context: str = "") -> DataFrame:
+    """``claims(id, claim, method)`` with outcome, confidence and notes.
+
+    Manual claims, external ones (no service is configured) and those of unknown methods are unresolvable at confidence 0; the
+    others go to the verifier, whose outcomes outside the known ones are unresolvable, as are claims on which it fails.
+    """
+    prompt = F.concat(F.lit(f"CONTEXT: {context[:CONTEXT_CHARS] or '(none)'}\nCLAIM: "), F.col("claim"))
+
+    @F.pandas_udf("struct<outcome:string,confidence:double,notes:string>")
+    def ask(prompts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in prompts:
+            try:
+                found = verifier(p or "")
+                outcome = str(found.get("outcome", "")).upper()
+                rows.append((outcome if outcome in OUTCOMES else "UNRESOLVABLE", float(found.get("confidence", UNSURE)), str(found.get("notes", ""))))
+            except Exception as e:
+                rows.append(("UNRESOLVABLE", 0.0, f"failed: {e}"))
+        return pd.DataFrame(rows, columns=["outcome", "confidence", "notes"])
+
+    by_model = claims.where("method = 'model'").select("*", ask(prompt).alias("r")).select(*claims.columns, "r.outcome", "r.confidence", "r.notes")
+    note = F.when(F.col("method") == "external", "not configured").otherwise("for review")
+    by_hand = claims.where(~F.col("method").eqNullSafe("model")).select(*claims.columns, F.lit("UNRESOLVABLE").alias("outcome"), F.lit(0.0).alias("confidence"), note.alias("notes"))
+    return by_model.unionByName(by_hand)

@@ -52,6 +52,7 @@ SOFT_PHRASES = {
     ),
     "memory": ("as we discussed previously", "as you mentioned before", "continuing from our last", "in our previous conversation", "you told me earlier", "going back to what you said"),
 }
+# Openings of sentences that claim nothing, the tag of claims, limits, and directives.
 STARTERS = ("hi", "hello", "sure", "okay", "ok", "yes", "no", "thanks", "thank you", "you're welcome", "i see", "got it", "understood", "let me", "here's", "here is")
 CLAIM_TAG = r"(?i)\[(FACT|INFERENCE|HYPOTHESIS|UNKNOWN)\]"
 SCANNED, LONG, UNTAGGED_LIMIT = 15, 50, 3
@@ -103,13 +104,20 @@ def _any_phrase(low: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
-def validated(text: Column, retry: Column, streak: Column) -> Column:
-    """struct(hard, soft, step, status) of an output: PASS, FLAGGED, REGENERATE, or BLOCK for a retry."""
+def validated(text: Column, retry: Column, streak: Column, on: Column | None = None, overrides: Column | None = None) -> Column:
+    """struct(hard, soft, step, status) of an output: PASS, FLAGGED, REGENERATE, or BLOCK for a retry.
+
+    ``on`` switches all checks; where it is false the output passes. ``overrides`` is an array of the soft
+    layers, and "slope", that the user has lifted; hard layers can't be lifted.
+    """
     low = F.lower(text)
-    slope = F.regexp_count(text, F.lit(DIRECTIVES)) >= 2
+    held = lambda name: F.lit(True) if overrides is None else ~F.coalesce(F.array_contains(overrides, name), F.lit(False))
+    live = F.lit(True) if on is None else F.coalesce(on, F.lit(False))
+    slope = live & held("slope") & (F.regexp_count(text, F.lit(DIRECTIVES)) >= 2)
     step = F.when(slope, F.least(streak + 1, F.lit(3))).otherwise(0)
-    hard = sum((_any_phrase(low, p).cast("int") for p in HARD_PHRASES.values()), F.lit(0)) + (untagged_claims(text) > UNTAGGED_LIMIT).cast("int") + (step >= 3).cast("int")
-    soft = sum((_any_phrase(low, p).cast("int") for p in SOFT_PHRASES.values()), F.lit(0)) + step.between(1, 2).cast("int")
+    hits = lambda layers, keep: sum(((keep(name) & live & _any_phrase(low, p)).cast("int") for name, p in layers.items()), F.lit(0))
+    hard = hits(HARD_PHRASES, lambda _: F.lit(True)) + (live & (untagged_claims(text) > UNTAGGED_LIMIT)).cast("int") + (step >= 3).cast("int")
+    soft = hits(SOFT_PHRASES, held) + step.between(1, 2).cast("int")
     status = F.when((hard == 0) & (soft == 0), "PASS").when(hard == 0, "FLAGGED").when(retry, "BLOCK").otherwise("REGENERATE")
     return F.struct(hard.alias("hard"), soft.alias("soft"), step.alias("step"), status.alias("status"))
 

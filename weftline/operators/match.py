@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from weftline.functions import text as T
+from weftline.session import Scratch
 
 
 def label_index(entries: DataFrame) -> DataFrame:
@@ -25,21 +26,34 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _grams(key: Column) -> Column:
+    """Runs of three characters of a key, and of two where it is no longer than eight."""
+    runs = lambda k: F.when(F.length(key) >= k, F.transform(F.sequence(F.lit(1), F.length(key) - k + 1), lambda i: F.substring(key, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(runs(3), F.when(F.length(key) <= 8, runs(2)).otherwise(F.array().cast("array<string>"))))
+
+
 def resolve_labels(labels: DataFrame, index: DataFrame, ratio: float = 0.85) -> DataFrame:
     """(label, id, strategy) of ``labels(label)``: exact, contained, alike, or miss.
 
     Containment needs five characters and half the length on either side, the longest key winning.
-    Labels that are not found exactly meet only keys that share a word with them.
+    Labels that are not found exactly meet the keys that share three characters in a row with them, or two
+    where both are short: so must any two that contain one another or are alike at .85, as the characters that
+    do not match are too few to part the others into shorter runs.
     """
     asked = labels.select("label", T.label_key(F.col("label")).alias("key")).distinct()
-    exact = asked.join(index, "key").select("label", "id", F.lit("exact").alias("strategy"))
-    rest = asked.join(exact, "label", "left_anti")
-    words = lambda df, *keep: df.select(*keep, F.explode(T.word_set(F.col("key"), 2)).alias("w"))
-    near = words(rest.withColumnRenamed("key", "k0").withColumn("key", F.col("k0")), "label", "k0").join(words(index.withColumn("k1", F.col("key")), "k1", "id"), "w").select("label", "k0", "k1", "id").distinct()
+    scratch = Scratch(labels.sparkSession)
+    exact = scratch.save(asked.join(index, "key").select("label", "id", F.lit("exact").alias("strategy")))
+    rest = scratch.save(asked.join(exact, "label", "left_anti"))
+    grams = lambda df, *keep: df.select(*keep, F.explode(_grams(F.col("key"))).alias("w"))
+    pairs = grams(rest.withColumn("k0", F.col("key")), "label", "k0").join(grams(index.withColumn("k1", F.col("key")), "k1", "id"), "w")
+    short, long_ = F.least(F.length("k0"), F.length("k1")), F.greatest(F.length("k0"), F.length("k1"))
+    near = pairs.where((short / long_ >= 0.5) & ((short >= 5) | (2 * short >= ratio * (short + long_)))).select("label", "k0", "k1", "id").distinct()
+    near = scratch.save(near)
     short, long_ = F.least(F.length("k0"), F.length("k1")), F.greatest(F.length("k0"), F.length("k1"))
     inside = (F.contains("k0", F.col("k1")) | F.contains("k1", F.col("k0"))) & (short >= 5) & (short / long_ >= 0.5)
     part = near.where(inside).groupBy("label").agg(F.min(F.struct((-F.length("k1")).alias("l"), "k1", "id")).alias("m")).select("label", "m.id", F.lit("contained").alias("strategy"))
-    alike = near.join(part, "label", "left_anti").withColumn("r", sequence_ratio("k0", "k1")).where(F.col("r") >= ratio)
+    close = near.where(2 * short >= ratio * (short + long_))  # no more than the shorter can match
+    alike = close.join(part, "label", "left_anti").withColumn("r", sequence_ratio("k0", "k1")).where(F.col("r") >= ratio)
     alike = alike.groupBy("label").agg(F.min(F.struct((-F.col("r")).alias("r"), "k1", "id")).alias("m")).select("label", "m.id", F.lit("alike").alias("strategy"))
     found = exact.unionByName(part).unionByName(alike)
     miss = asked.join(found, "label", "left_anti").select("label", F.lit(None).cast("string").alias("id"), F.lit("miss").alias("strategy"))

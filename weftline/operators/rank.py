@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import vectors as V
+from weftline.session import Scratch
 
 K1, B, NUMBER_WEIGHT = 1.2, 0.75, 1.75
 
 
+def _counted(text: Column | None, terms: dict[str, float]) -> Column:
+    """struct(len, hits): the number of a text's tokens, and those of the query among them; the text is cut once."""
+    tokens = T.search_tokens(text) if text is not None else F.array().cast("array<string>")
+    return F.transform(F.array(tokens), lambda x: F.struct(F.size(x).alias("len"), F.filter(x, lambda w: w.isin(*terms)).alias("hits")))[0]
+
+
 def bm25(docs: DataFrame, words: list[str], k: int, title: Column | None = None, body: Column | None = None) -> DataFrame:
     """(id, score): the k best of ``docs(id, ...)`` by BM25, ties to the smaller id.
 
     Term frequency counts the body once and the title twice, length the body alone; expansions weigh 0.55 and
-    numbers 1.75. Only the counts of the query's terms leave a document, and one row of statistics meets them.
+    numbers 1.75. Only the query's own tokens leave a document, into a scratch table that is read for the
+    statistics, one row, and for the scores.
     """
     terms = T.query_terms(words)
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    tokens = docs.select("id", T.search_tokens(F.col("text") if body is None else body).alias("b"), (T.search_tokens(title) if title is not None else F.array().cast("array<string>")).alias("t"))
+    own = Scratch(docs.sparkSession).save(docs.select("id", _counted(F.col("text") if body is None else body, terms).alias("b"), _counted(title, terms).alias("t")))
     count = lambda where, term: F.size(F.filter(where, lambda x: x == F.lit(term)))
-    tfs = [(count("b", t) + 2 * count("t", t)).cast("double") for t in terms]
-    slim = tokens.select("id", F.greatest(F.size("b"), F.lit(1)).alias("len"), F.array(*tfs).alias("tf"))
+    tfs = [(count("b.hits", t) + 2 * count("t.hits", t)).cast("double") for t in terms]
+    slim = own.select("id", F.greatest(F.col("b.len"), F.lit(1)).alias("len"), F.array(*tfs).alias("tf"))
     stats = slim.agg(
         F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0).cast("double") for i in range(len(terms))]).alias("df")
     )

@@ -105,3 +105,38 @@ def outlined(df: DataFrame, column: str = "text") -> DataFrame:
 def spanned(df: DataFrame, column: str = "text") -> DataFrame:
     """Rows (…, kind, text) of each text's spans."""
     return _exploded(df.withColumnRenamed(column, "__raw"), "__raw", "kind:string,text:string", spans)
+
+
+def wraps(text: str | None) -> tuple[list[str], str, str | None]:
+    """What stands in single asterisks, the text outside them joined by blanks, and the end that an open one begins.
+
+    ``**`` is plain text, a wrap of white space alone is plain with its asterisks, and an open end counts as plain too.
+    """
+    pieces = re.split(r"(\*\*|\*)", text or "")
+    found, plain, held, inner = [], [], "", None
+
+    def close() -> None:
+        nonlocal held
+        if held:
+            plain.append(held)
+        held = ""
+
+    for piece in pieces:
+        if piece != "*":
+            if inner is None:
+                held += piece
+            else:
+                inner += piece
+        elif inner is None:
+            close()
+            inner = ""
+        else:
+            if inner.strip():
+                found.append(inner.strip())
+            else:
+                held += f"*{inner}*"
+            inner = None
+    tail = (inner or "").strip() or None
+    held += tail or ""
+    close()
+    return found, " ".join(plain).strip(), tail

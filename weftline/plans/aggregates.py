@@ -16,12 +16,20 @@ from weftline.sources.tables import table
 registry = Registry()
 query = registry.query
 GRAPH = f"WITH {NODES_SQL}, {EDGES_SQL}"
-# Keywords of four of the topics that chunks are scored by.
+# Keywords of the twelve topics that chunks are scored by, in the order that breaks ties.
 BANKS = {
+    "identity": ["identity", "self", "who i am", "personality", "values", "character", "core belief", "principle", "fundamental"],
     "regulation": ["regulate", "regulation", "boundary", "limit", "constraint", "rule", "policy", "governance", "control", "moderation", "should not", "must not", "never", "always"],
+    "epistemics": ["know", "believe", "evidence", "proof", "claim", "hypothesis", "fact", "inference", "uncertain", "confidence", "epistemic", "truth", "verify", "source", "citation"],
+    "affect": ["feel", "emotion", "frustrat", "happy", "sad", "anger", "joy", "anxious", "stress", "overwhelm", "excite", "passion", "care about", "matters to me"],
+    "methodology": ["method", "process", "workflow", "pipeline", "system", "framework", "approach", "technique", "strategy", "pattern", "architecture", "design", "implement"],
     "decisions": ["decide", "decision", "chose", "choice", "tradeoff", "trade-off", "priority", "prioritize", "commit", "settled on", "going with", "picked", "opted"],
     "preferences": ["prefer", "preference", "like", "dislike", "want", "style", "taste", "rather", "favorite", "habit"],
     "problems": ["problem", "issue", "bug", "error", "broken", "fix", "wrong", "fail", "struggle", "challenge", "difficult", "stuck", "blocker"],
+    "worldbuilding": ["world", "universe", "lore", "canon", "fiction", "narrative", "story", "myth", "legend", "saga", "arc", "chapter", "civilization", "colony", "coloniz", "expansion", "empire", "alien", "species", "race", "faction", "culture"],
+    "science_fiction": ["fusion", "plasma", "quantum", "energy", "reactor", "nozzle", "ion", "accelerat", "neutron", "photon", "particle", "warp", "drive", "propulsion", "thrust", "engine", "nano", "goo", "grey goo", "xenon", "xenonite", "void", "space", "orbit", "star", "solar"],
+    "metaphor": ["analogy", "metaphor", "like", "represent", "symbol", "embod", "manifest", "allegory", "parallel", "mirror", "lifeblood", "circulat", "oasis", "scaffold", "bridge", "echo", "shadow", "ghost", "spirit", "soul"],
+    "narrative_structure": ["scene", "act", "moment", "pause", "reveal", "twist", "climax", "finale", "opening", "closing", "sequence", "montage", "slideshow", "visual", "camera", "fade", "catchphrase", "line", "quote", "meme", "callback", "vin diesel", "family", "burnham", "divine"],
 }
 #: Keywords in the language of the tables, scored by the same rule.
 INVENTED = {"er": ["there", "ering", "here", "erth"], "on": ["onth", "tion", "ation", "onhe"], "ou": ["ouon", "queou", "ouai"], "ei": ["keit", "heit", "schei", "ein"]}
@@ -110,10 +118,10 @@ scored AS (SELECT doc_id, topic, place, len(list_filter(words, lambda w: contain
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS k FROM scored)"""
 
 
-@query(f"WITH {_topic_sql(INVENTED)} SELECT doc_id, CASE WHEN score > 0 THEN topic ELSE '' END AS topic, round(score, 6) AS score FROM best WHERE k = 1")
+@query(f"WITH {_topic_sql(BANKS | INVENTED)} SELECT doc_id, CASE WHEN score > 0 THEN topic ELSE '' END AS topic, round(score, 6) AS score FROM best WHERE k = 1")
 def agg09_topics(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return A.topic_scores(docs, INVENTED).select(F.col("id").alias("doc_id"), "topic", F.round("score", 6).alias("score"))
+    return A.topic_scores(docs, BANKS | INVENTED).select(F.col("id").alias("doc_id"), "topic", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_topic_sql(BANKS)} SELECT CASE WHEN score > 0 THEN topic ELSE '' END AS topic, count(*) AS n FROM best WHERE k = 1 GROUP BY 1")
@@ -181,12 +189,6 @@ def agg18_review(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("user_id").agg(F.sum("n").alias("hits"), F.count("*").alias("kinds"), line.alias("trajectory"))
 
 
-@query("""SELECT doc_id, round(least(0.35, 0.12 * len(regexp_extract_all(text, '[A-Z]{3,}')) + 0.08 * len(regexp_extract_all(text, '!'))), 4) AS boost FROM documents""")
-def agg20_affect(spark: SparkSession, sf: str) -> DataFrame:
-    boost = 0.12 * F.regexp_count("text", F.lit("[A-Z]{3,}")) + 0.08 * F.regexp_count("text", F.lit("!"))
-    return table(spark, sf, "documents").select("doc_id", F.round(F.least(F.lit(0.35), boost), 4).alias("boost"))
-
-
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS turns FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM d)
 SELECT user_id, round(avg(turns), 6) AS baseline FROM r WHERE k <= 5 GROUP BY user_id""")
 def agg21_baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +263,7 @@ def ded04_merge(spark: SparkSession, sf: str) -> DataFrame:
     return D.merged_candidates(rows).select("kind", F.col("key").alias("label"), "id", "confidence", F.array_join("refs", ",").alias("refs"), F.array_join(F.array_sort("aliases"), ",").alias("aliases"))
 
 
-_BUNDLES_SQL = """b AS (SELECT o_orderkey AS id, list_distinct(list('p' || (l_partkey % 40))) AS c, count(DISTINCT l_suppkey) AS width FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 20 GROUP BY 1)"""
+_BUNDLES_SQL = """b AS (SELECT o_orderkey AS id, list_distinct(list('p' || l_partkey)) AS c, count(DISTINCT l_suppkey) AS width FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"""
 
 
 @query(f"""WITH RECURSIVE {_BUNDLES_SQL}, x AS (SELECT id, len(c) AS n, unnest(c) AS v FROM b),
@@ -270,22 +272,28 @@ e AS (SELECT a, b FROM h UNION SELECT b, a FROM h), reach AS (SELECT id, id AS r
 root AS (SELECT id, min(r) AS root FROM reach GROUP BY id)
 SELECT b.id, first_value(b.id) OVER (PARTITION BY root ORDER BY width DESC, b.id) AS canonical FROM b JOIN root USING (id)""")
 def ded06_bundle_merge(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey < 20").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    b = o.groupBy(F.col("o_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string"))).alias("constraints"), F.collect_set("l_suppkey").alias("depends_on"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    b = o.groupBy(F.col("o_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("constraints"), F.collect_set("l_suppkey").alias("depends_on"))
     return D.merged_bundles(b)
 
 
-@query(f"""{GRAPH}, a AS (SELECT id FROM nodes WHERE type = 'anchor'), e AS (SELECT * FROM edges WHERE type IN ('CONFLICTS', 'LINKS')),
-own AS (SELECT 'c' || o_custkey AS anchor, count(DISTINCT o_orderpriority) AS n FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000 GROUP BY 1),
-via AS (SELECT dst AS anchor, count(DISTINCT src) AS n FROM edges WHERE type = 'PARENT_OF' AND weight > 0.7 GROUP BY 1)
+@query(f"""{GRAPH}, a AS (SELECT id FROM nodes WHERE type = 'anchor'),
+l AS (SELECT 'c' || o_custkey AS anchor, 's' || o_orderkey % 7 AS slab FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000),
+m AS (SELECT src AS bundle, dst AS anchor FROM edges WHERE type = 'PARENT_OF' AND weight > 0.7), w AS (SELECT 'n' || s_nationkey AS bundle, count(*) AS w FROM supplier WHERE s_acctbal > 5000 GROUP BY 1),
+own AS (SELECT anchor, count(DISTINCT slab) AS n, min(slab) AS first FROM l WHERE slab IN (SELECT id FROM nodes WHERE type = 'slab') GROUP BY 1), via AS (SELECT anchor, max(w) AS n FROM m JOIN w USING (bundle) GROUP BY 1),
+sem AS (SELECT src AS id FROM edges WHERE type = 'CONFLICTS' UNION SELECT dst FROM edges WHERE type = 'CONFLICTS')
 SELECT a.id, coalesce(own.n, 0) AS own_reach, coalesce(via.n, 0) AS bundle_reach,
- CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.type <> 'LINKS' AND (src = a.id OR dst = a.id)) OR coalesce(own.n, 0) >= 2 OR coalesce(via.n, 0) >= 2 THEN 'KEEP' WHEN coalesce(own.n, 0) = 1 OR coalesce(via.n, 0) = 1 THEN 'DEMOTE' ELSE 'ORPHAN' END AS verdict
+ CASE WHEN a.id IN (SELECT id FROM sem) OR coalesce(own.n, 0) >= 2 OR coalesce(via.n, 0) >= 2 THEN 'KEEP' WHEN own.n = 1 THEN 'DEMOTE' ELSE 'ORPHAN' END AS verdict, CASE WHEN verdict = 'DEMOTE' THEN own.first END AS parent
 FROM a LEFT JOIN own ON own.anchor = a.id LEFT JOIN via ON via.anchor = a.id""")
 def ded08_consolidation(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf)
-    own = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_totalprice > 300000").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("anchor"), F.col("o_orderpriority").alias("target"))
-    via = e.where("type = 'PARENT_OF' AND weight > 0.7").select(F.col("dst").alias("anchor"), F.col("src").alias("target"))
-    return D.consolidation(nodes(spark, sf).where("type = 'anchor'"), e.where("type IN ('CONFLICTS', 'LINKS')"), own, via)
+    """Anchors linked to slabs by orders, in bundles by nation, kept by conflicts."""
+    n, e = nodes(spark, sf), edges(spark, sf)
+    o = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_totalprice > 300000")
+    links = o.select(F.lit("LINKS").alias("type"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), (F.col("o_orderkey") % 7).cast("string")).alias("dst"))
+    both = e.where("type = 'CONFLICTS'").select("type", "src", "dst").unionByName(links)
+    members = e.where("type = 'PARENT_OF' AND weight > 0.7").select(F.col("src").alias("id"), F.col("dst").alias("anchor"))
+    wide = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slab"))
+    return D.consolidation(n.where("type = 'anchor'"), n.where("type = 'slab'"), both, members, wide)
 
 
 @query("SELECT label, max(vec_id) AS vec_id, round(CAST(max(embedding[1]) AS DOUBLE), 6) AS similarity FROM embeddings GROUP BY label")

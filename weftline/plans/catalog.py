@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, compositions, details, extras, graphs, lookups, ranking, sequences, states, texts
+from weftline.plans import aggregates, compositions, details, drafts, extras, files, graphs, lookups, matching, ranking, sequences, states, texts
 
-FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states, texts, compositions, details, extras)
+FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states, texts, compositions, details, extras, matching, drafts, files)
 
 
 def queries() -> dict:

@@ -27,11 +27,11 @@ GRAPH = f"{NODES_SQL}, {EDGES_SQL}"
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers' similarity to a probe, by their key as vec_id."""
     probe = table(spark, sf, "embeddings").where("vec_id = 3").select(F.col("embedding").alias("q"))
-    e = table(spark, sf, "embeddings").where("vec_id < 100").crossJoin(F.broadcast(probe))  # one row
+    e = table(spark, sf, "embeddings").crossJoin(F.broadcast(probe))  # one row
     return e.select(F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("id"), V.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
 
 
-_SIM = "sim AS (SELECT 's' || e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM embeddings e, embeddings q WHERE e.vec_id < 100 AND q.vec_id = 3)"
+_SIM = "sim AS (SELECT 's' || e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 3)"
 _DEGREE = "deg AS (SELECT id, count(*) AS score FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id), wsum AS (SELECT src AS id, sum(weight) AS score FROM edges GROUP BY src)"
 
 
@@ -74,13 +74,14 @@ def grf30_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("id").agg(F.max("how").alias("how"))
 
 
-@query("""WITH c AS (SELECT vec_id AS id, label AS block, CAST(embedding AS DOUBLE[]) AS v, 'w' || vec_id % 97 AS lab FROM embeddings WHERE vec_id < 200), d AS (SELECT vec_id AS id, label AS block, CAST(embedding AS DOUBLE[]) AS v, 'w' || vec_id AS lab FROM embeddings WHERE vec_id >= 60),
+@query("""WITH c AS (SELECT vec_id AS id, label AS block, list_reverse(CAST(embedding AS DOUBLE[])) AS v, 'w' || vec_id % 97 AS lab FROM embeddings), d AS (SELECT vec_id AS id, label AS block, CAST(embedding AS DOUBLE[]) AS v, 'w' || vec_id AS lab FROM embeddings),
 x AS (SELECT d.id, min(c.id) AS held_by FROM d JOIN c USING (lab) GROUP BY d.id), s AS (SELECT d.id, c.id AS c, list_cosine_similarity(d.v, c.v) AS s FROM d JOIN c USING (block) WHERE d.id NOT IN (SELECT id FROM x)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, c) AS k FROM s WHERE s > 0.3) SELECT id, held_by FROM x UNION ALL SELECT id, c FROM r WHERE k = 1""")
 def ded05_already_held(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("block"))
     name = lambda c: F.concat(F.lit("w"), c.cast("string")).alias("label")
-    return Y.already_held(e.where("id >= 60").select("id", name(F.col("id")), "v", "block"), e.where("id < 200").select("id", name(F.col("id") % 97), "v", "block"), 0.3)
+    held = e.select("id", name(F.col("id") % 97), F.reverse("v").alias("v"), "block")  # other vectors under other names
+    return Y.already_held(e.select("id", name(F.col("id")), "v", "block"), held, 0.3)
 
 
 @query(f"""WITH {GRAPH}, a AS (SELECT dst AS anchor, min(src) AS slab, count(DISTINCT src) AS n FROM edges WHERE type = 'PARENT_OF' GROUP BY dst) SELECT slab, count(*) AS inlined, min(anchor) AS first FROM a JOIN nodes ON id = anchor WHERE n = 1 AND ord % 2 = 0 GROUP BY slab""")
@@ -148,10 +149,10 @@ def str02_frame_turn(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.round(F.col("weight") + 1e-12, 6).alias("weight"), F.round(F.col("smoothed") + 1e-12, 6).alias("smoothed"))
 
 
-@query("""WITH d AS (SELECT label AS session, vec_id AS id, vec_id AS raised, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 150), p AS (SELECT a.id, b.id AS "by", list_cosine_similarity(a.v, b.v) AS s FROM d a JOIN d b USING (session) WHERE b.raised >= a.raised + 20 AND a.id <> b.id),
+@query("""WITH d AS (SELECT label AS session, vec_id AS id, vec_id AS raised, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.id, b.id AS "by", list_cosine_similarity(a.v, b.v) AS s FROM d a JOIN d b USING (session) WHERE b.raised >= a.raised + 20 AND a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, "by") AS k FROM p WHERE s >= 0.4) SELECT id, "by" FROM r WHERE k = 1""")
 def joi14_supersession(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "embeddings").where("vec_id < 150").select(F.col("label").alias("session"), F.col("vec_id").alias("id"), F.col("vec_id").alias("raised"), F.col("embedding").alias("v"))
+    d = table(spark, sf, "embeddings").select(F.col("label").alias("session"), F.col("vec_id").alias("id"), F.col("vec_id").alias("raised"), F.col("embedding").alias("v"))
     return Y.superseding(d.withColumn("reference_turn", F.col("raised") + 20), d)
 
 
@@ -193,10 +194,10 @@ def grf02_power_iteration(spark: SparkSession, sf: str) -> DataFrame:
     return G.power_iteration(n, edges(spark, sf), n.where("type = 'bundle'").select("id"), rounds=5, tolerance=0).select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {GRAPH}, m AS (SELECT collection, string_agg(id, ',' ORDER BY id) AS members, count(*) AS n FROM nodes WHERE ord < 50 GROUP BY collection) SELECT collection, n, substr(md5(members), 1, 12) AS digest FROM m""")
+@query(f"""WITH {GRAPH}, m AS (SELECT collection, string_agg(id, ',' ORDER BY id) AS members, count(*) AS n FROM nodes GROUP BY collection) SELECT collection, n, substr(md5(members), 1, 12) AS digest FROM m""")
 def grf17_label_cache(spark: SparkSession, sf: str) -> DataFrame:
     """A key of each cluster's member set: labels are kept while it stays the same."""
-    m = nodes(spark, sf).where("ord < 50").groupBy("collection").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("m"), F.count("*").alias("n"))
+    m = nodes(spark, sf).groupBy("collection").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("m"), F.count("*").alias("n"))
     return m.select("collection", "n", F.substring(F.md5("m"), 1, 12).alias("digest"))
 
 
@@ -217,9 +218,9 @@ def str03_pushes(spark: SparkSession, sf: str) -> DataFrame:
     return m.where("role = 'assistant' AND ar = 'user'").select("conv_id", "turn", F.length("answer").cast("long").alias("answer_chars"))
 
 
-@query("SELECT doc_id, replace(replace(substr(text, 1, 100), '—', '-'), '…', '...') AS folded FROM documents")
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '—', '-'), '…', '...'), '‘', chr(39)), '’', chr(39)), '“', chr(34)), '”', chr(34)), '–', '-'), '→', '->'), chr(160), ' ')) AS folded FROM documents")
 def sca07_punctuation(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.fold_punctuation(F.substring("text", 1, 100)).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.fold_punctuation(F.col("text"))).alias("folded"))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN strpos(text, 'License') > 0 THEN 1000000000 + strpos(text, 'License') - 1 ELSE doc_id END AS BIGINT) AS ord FROM documents")

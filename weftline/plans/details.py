@@ -26,11 +26,11 @@ def prj05_selected_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return nodes(spark, sf).select("id", "type", T.first_of(F.col("label"), F.col("id")).alias("name"), F.lit(0.85).alias("confidence"))
 
 
-@query(f"WITH {GRAPH} SELECT type, src, dst, weight FROM edges UNION ALL SELECT 'LINKS', 'o' || l_orderkey, 'p' || l_partkey, CAST(0.8 AS DOUBLE) FROM lineitem WHERE l_quantity = 50 UNION ALL SELECT 'INVOKES', 'o' || l_orderkey, 's' || l_suppkey, CAST(0.9 AS DOUBLE) FROM lineitem WHERE l_quantity = 50")
+@query(f"WITH {GRAPH} SELECT type, src, dst, weight FROM edges UNION ALL SELECT 'LINKS', 'o' || l_orderkey, 'p' || l_partkey, CAST(0.8 AS DOUBLE) FROM lineitem UNION ALL SELECT 'INVOKES', 'o' || l_orderkey, 's' || l_suppkey, CAST(0.9 AS DOUBLE) FROM lineitem")
 def prj07_render_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Corpus edges with those that references imply, at fixed weights."""
     to = lambda p, c, t, w: F.struct(F.lit(t).alias("type"), F.concat(F.lit(p), F.col(c).cast("string")).alias("dst"), F.lit(w).alias("weight"))
-    implied = table(spark, sf, "lineitem").where("l_quantity = 50").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.inline(F.array(to("p", "l_partkey", "LINKS", 0.8), to("s", "l_suppkey", "INVOKES", 0.9))))
+    implied = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.inline(F.array(to("p", "l_partkey", "LINKS", 0.8), to("s", "l_suppkey", "INVOKES", 0.9))))
     return edges(spark, sf).select("type", "src", "dst", "weight").unionByName(implied)
 
 
@@ -207,32 +207,6 @@ def joi03_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("key").agg(F.min(F.struct("tier", "id")).alias("m")).select("key", "m.id", "m.tier")
 
 
-_SCORE = "CASE WHEN s = p THEN 1.0 WHEN contains(' ' || s || ' ', ' ' || p || ' ') THEN 0.95 WHEN len(list_filter(string_split(p, ' '), lambda w: list_contains(string_split(s, ' '), w))) = len(string_split(p, ' ')) THEN 0.9 ELSE 0 END"
-
-
-@query(f"""WITH x AS (SELECT DISTINCT p_name || CASE WHEN p_size % 2 = 0 THEN ' ' || lower(p_type) ELSE '' END AS s FROM part), y AS (SELECT DISTINCT p_name AS p FROM part) SELECT s, p, CAST({_SCORE} AS DOUBLE) AS score FROM x JOIN y ON split_part(s, ' ', 1) = split_part(p, ' ', 1) WHERE {_SCORE} > 0""")
-def joi08_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans against phrases that begin with the same word: equal, bounded, or all words."""
-    s = table(spark, sf, "part").select(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), F.lower("p_type"))).otherwise("")).alias("s")).distinct()
-    p = table(spark, sf, "part").select(F.col("p_name").alias("p")).distinct()
-    both = s.withColumn("w", F.split("s", " ")[0]).join(p.withColumn("w", F.split("p", " ")[0]), "w")
-    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    all_ = F.size(F.array_except(F.split("p", " "), F.split("s", " "))) == 0
-    score = F.when(F.col("s") == F.col("p"), 1.0).when(F.contains(pad("s"), pad("p")), 0.95).when(all_, 0.9).otherwise(0.0)
-    return both.select("s", "p", score.alias("score")).where("score > 0")
-
-
-@query("""WITH s AS (SELECT a.vec_id, b.label, max(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id >= 20 AND b.vec_id < 120 GROUP BY ALL)
-SELECT vec_id, label, round(s, 6) AS similarity, CASE WHEN s >= 0.70 THEN 'auto' WHEN s >= 0.55 THEN 'candidate' WHEN s >= 0.42 THEN 'weak' ELSE 'none' END AS tier FROM s""")
-def joi10_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """The best phrase of each handle for a few probes, in tiers."""
-    e = table(spark, sf, "embeddings")
-    probes = F.broadcast(e.where("vec_id < 20").select("vec_id", F.col("embedding").alias("q")))  # 20 rows
-    best = e.where("vec_id >= 20 AND vec_id < 120").select("label", "embedding").crossJoin(probes).groupBy("vec_id", "label").agg(F.max(V.cosine(F.col("embedding"), F.col("q"))).alias("s"))
-    tier = F.when(F.col("s") >= 0.70, "auto").when(F.col("s") >= 0.55, "candidate").when(F.col("s") >= 0.42, "weak").otherwise("none")
-    return best.select("vec_id", "label", F.round("s", 6).alias("similarity"), tier.alias("tier"))
-
-
 @query("""WITH r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), d AS (SELECT conv_id, turn AS raised, split_part(text, ' ', 1) AS w FROM conversations WHERE role = 'assistant') SELECT d.conv_id, d.raised, count(*) AS refs, min(r.turn) AS first_ref FROM d JOIN r ON r.conv_id = d.conv_id AND r.turn > d.raised AND contains(lower(r.text), lower(d.w)) GROUP BY ALL""")
 def joi13_references(spark: SparkSession, sf: str) -> DataFrame:
     """Later turns of a conversation that mention what an earlier one raised."""

@@ -25,30 +25,40 @@ query = registry.query
 GRAPH = f"{NODES_SQL}, {EDGES_SQL}"
 
 
-@query("SELECT page_id, 'plaintext' AS format FROM pages")
+@query("SELECT conv_id, turn, (['transcript_jsonl', 'messages_export', 'mapping_export', 'markdown', 'plaintext', 'mapping_export'])[conv_id % 6 + 1] AS format FROM conversations")
 def src14_formats(spark: SparkSession, sf: str) -> DataFrame:
-    """Formats of raw uploads; web pages are none of the exports."""
+    """Formats of raw uploads, written from messages in each of the formats."""
     ship(spark)
-    return M.mapped(table(spark, sf, "pages"), C.export_format, "html", "format").select("page_id", "format")
+    body = F.to_json(F.struct("text"))
+    row = F.concat(F.lit('{"type": "user", "message": '), body, F.lit("}"))
+    raws = [
+        F.concat(row, F.lit("\n"), row), F.concat(F.lit('[{"chat_messages": ['), body, F.lit("]}]")), F.concat(F.lit('{"mapping": {"a": '), body, F.lit("}}")),
+        F.concat(F.lit("## Human\n"), "text", F.lit("\n\n## Assistant\nyes")), F.concat(F.lit("plain: "), "text"), F.concat(F.lit('[{"role": "user", "content": '), body, F.lit("}]")),
+    ]
+    raw = table(spark, sf, "conversations").select("conv_id", "turn", F.array(*raws)[(F.col("conv_id") % 6).cast("int")].alias("raw"))
+    return M.mapped(raw, C.export_format, "raw", "format").select("conv_id", "turn", "format")
 
 
-@query("SELECT conv_id, count(*) AS messages FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+_MESSAGES = "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS index, {role} AS role, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE {where}"
+
+
+@query(_MESSAGES.format(role="CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END", where="role <> 'system' AND trim(text) <> ''"))
 def src16_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """Mapping exports, written from conversations, read back."""
     ship(spark)
-    m = table(spark, sf, "conversations").where("role <> 'system'")
-    node = F.struct(F.struct(F.struct(F.col("role")).alias("author"), F.col("turn").alias("create_time"), F.struct(F.array("text").alias("parts")).alias("content")).alias("message"))
+    m = table(spark, sf, "conversations")
+    node = F.struct(F.struct(F.struct(F.col("role")).alias("author"), F.col("turn").alias("create_time"), F.struct(F.split("text", " ", -1).alias("parts")).alias("content")).alias("message"))
     raws = m.groupBy("conv_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), node))).alias("mapping"))).alias("raw"))
-    return C.normalised(raws).groupBy("conv_id").agg(F.count("*").alias("messages"))
+    return C.normalised(raws).select("conv_id", "index", "role", "content")
 
 
-@query("SELECT conv_id, count(*) AS messages FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+@query(_MESSAGES.format(role="CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END", where="trim(text) <> ''"))
 def src17_markdown(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     head = F.when(F.col("role") == "assistant", "## Assistant\n").otherwise("## User\n")
     parts = F.array_sort(F.collect_list(F.struct("turn", F.concat(head, "text").alias("x"))))
     raws = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "\n\n").alias("raw"))
-    return C.normalised(raws).groupBy("conv_id").agg(F.count("*").alias("messages"))
+    return C.normalised(raws).select("conv_id", "index", "role", "content")
 
 
 @query("SELECT conv_id, '[turn ' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || '] [' || role || ']' AS head FROM conversations")
@@ -59,10 +69,10 @@ def src20_rendered(spark: SparkSession, sf: str) -> DataFrame:
     return text.select("conv_id", F.explode(F.split("text", "\n\n")).alias("x")).select("conv_id", F.trim("x").alias("head"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents WHERE doc_id < 50) SELECT doc_id, length(array_to_string(list(x), chr(10))) > 20 AS kept FROM l GROUP BY doc_id HAVING kept")
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, length(array_to_string(list(x), chr(10))) > 20 AS kept FROM l GROUP BY doc_id HAVING kept")
 def src21_code_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Texts without definitions are one chunk, unless too short."""
-    files = table(spark, sf, "documents").where("doc_id < 50").select(F.col("doc_id").alias("path"), "text")
+    files = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
     return stores.code_chunks(files).groupBy(F.col("path").alias("doc_id")).agg((F.count("*") > 0).alias("kept"))
 
 
@@ -122,11 +132,11 @@ def flt25_pending(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select("o_orderkey")
 
 
-@query("""WITH a AS (SELECT conv_id, list_distinct(string_split(lower(text), ' ')) AS w FROM conversations WHERE turn = 0), b AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark),
+@query("""WITH a AS (SELECT conv_id, list_distinct(string_split(lower(text), ' ')) AS w FROM (SELECT conv_id, string_agg(text, ' ') AS text FROM conversations GROUP BY conv_id)), b AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark),
 s AS (SELECT conv_id, item_id, len(list_intersect(a.w, b.w)) AS n FROM a, b), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, item_id) AS k FROM s WHERE n > 0) SELECT conv_id, item_id, n FROM r WHERE k <= 5""")
 def joi16_context(spark: SparkSession, sf: str) -> DataFrame:
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("w"))
-    both = words(table(spark, sf, "conversations").where("turn = 0"), "conv_id").join(words(table(spark, sf, "benchmark"), "item_id"), "w")
+    both = words(table(spark, sf, "conversations"), "conv_id").distinct().join(words(table(spark, sf, "benchmark"), "item_id"), "w")
     n = both.groupBy("conv_id", "item_id").agg(F.count("*").alias("n"))
     return n.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("n"), "item_id"))).where("k <= 5").drop("k")
 

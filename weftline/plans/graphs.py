@@ -53,13 +53,13 @@ def grf05_normalised(spark: SparkSession, sf: str) -> DataFrame:
     return G.peak_normalised(d).select("id", F.round("score", 9).alias("score"))
 
 
-_IDS = "ids AS (SELECT id FROM nodes WHERE ord < 40)"
+_IDS = "ids AS (SELECT id FROM nodes WHERE collection IN ('geo', 'supply', 'building'))"
 
 
 @query(f"WITH {GRAPH}, {_IDS} SELECT type, src, dst, weight FROM edges WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)")
 def grf06_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     n = nodes(spark, sf)
-    return G.subgraph(n, edges(spark, sf), n.where("ord < 40"))[1].select("type", "src", "dst", "weight")
+    return G.subgraph(n, edges(spark, sf), n.where("collection IN ('geo', 'supply', 'building')"))[1].select("type", "src", "dst", "weight")
 
 
 @query(f"""WITH {GRAPH}, s AS (SELECT src, dst, type FROM edges WHERE type IN ('INVOKES', 'LINKS', 'SUPPORTS') UNION ALL SELECT dst, src, type FROM edges WHERE type IN ('INVOKES', 'LINKS', 'SUPPORTS')),

@@ -69,14 +69,14 @@ def flt06_gate_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", R.gate_pipeline([R.gate(GATE_RULES, "DEFER", e.schema), second]).alias("outcome"))
 
 
-_POSED = "posed AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'please review the anchors ' WHEN 1 THEN 'compare ' WHEN 2 THEN 'give me an overview of ' ELSE 'no, wait ' END || substr(text, 1, 200) AS text FROM conversations)"
+_POSED = "posed AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'please review the anchors ' WHEN 1 THEN 'compare ' WHEN 2 THEN 'give me an overview of ' ELSE 'no, wait ' END || text AS text FROM conversations)"
 
 
 def _posed(spark: SparkSession, sf: str) -> DataFrame:
     """Messages with openings that the classifiers tell apart."""
     k = F.col("turn") % 4
     opening = F.when(k == 0, "please review the anchors ").when(k == 1, "compare ").when(k == 2, "give me an overview of ").otherwise("no, wait ")
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(opening, F.substring("text", 1, 200)).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(opening, "text").alias("text"))
 
 
 def _re2(pattern: str) -> str:
@@ -133,27 +133,19 @@ def _phrases(groups: dict[str, tuple[str, ...]]) -> str:
 _OUTPUTS = "outs AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'It is known that. ' WHEN 1 THEN 'Let me be clear. You should do it. You must go. ' ELSE '' END || text AS text FROM documents)"
 
 
-@query(f"""WITH {_OUTPUTS}, m AS (SELECT *, lower(text) AS low, doc_id % 3 AS streak, len(regexp_extract_all(text, '{_re2(R.DIRECTIVES)}')) >= 2 AS slope FROM outs),
-n AS (SELECT doc_id, CASE WHEN slope THEN least(streak + 1, 3) ELSE 0 END AS step, {_phrases(R.HARD_PHRASES)} + CAST({_UNTAGGED} > 3 AS INTEGER) AS hard, {_phrases(R.SOFT_PHRASES)} AS soft FROM m),
-f AS (SELECT doc_id, CAST(step AS INTEGER) AS step, hard + CAST(step >= 3 AS INTEGER) AS hard, soft + CAST(step BETWEEN 1 AND 2 AS INTEGER) AS soft FROM n)
+@query(f"""WITH {_OUTPUTS}, m AS (SELECT *, lower(text) AS low, doc_id % 3 AS streak, len(regexp_extract_all(text, '{_re2(R.DIRECTIVES)}')) >= 2 AND doc_id % 8 <> 5 AS slope FROM outs),
+n AS (SELECT doc_id, CASE WHEN slope THEN least(streak + 1, 3) ELSE 0 END AS step, {_phrases(R.HARD_PHRASES)} + CAST({_UNTAGGED} > 3 AS INTEGER) AS hard, {_phrases({k: v for k, v in R.SOFT_PHRASES.items() if k != "style"})} + CASE WHEN doc_id % 8 = 1 THEN 0 ELSE {_phrases({"style": R.SOFT_PHRASES["style"]})} END AS soft FROM m),
+f AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE CAST(step AS INTEGER) END AS step, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE hard + CAST(step >= 3 AS INTEGER) END AS hard, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE soft + CAST(step BETWEEN 1 AND 2 AS INTEGER) END AS soft FROM n)
 SELECT doc_id, step, hard, soft, CASE WHEN hard = 0 AND soft = 0 THEN 'PASS' WHEN hard = 0 THEN 'FLAGGED' WHEN doc_id % 2 = 0 THEN 'BLOCK' ELSE 'REGENERATE' END AS status FROM f""")
 def flt16_validator(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id") % 4
     opening = F.when(k == 0, "It is known that. ").when(k == 1, "Let me be clear. You should do it. You must go. ").otherwise("")
     outs = _docs(spark, sf).select("doc_id", F.concat(opening, "text").alias("text"))
-    out = outs.select("doc_id", R.validated(F.col("text"), F.col("doc_id") % 2 == 0, (F.col("doc_id") % 3).cast("int")).alias("v"))
+    lifted = F.when(F.col("doc_id") % 8 == 1, F.array(F.lit("style"))).when(F.col("doc_id") % 8 == 5, F.array(F.lit("slope"), F.lit("floor")))
+    out = outs.select("doc_id", R.validated(F.col("text"), F.col("doc_id") % 2 == 0, (F.col("doc_id") % 3).cast("int"), F.col("doc_id") % 11 != 0, lifted).alias("v"))
     return out.select("doc_id", "v.step", "v.hard", "v.soft", "v.status")
 
 
-@query("SELECT doc_id, regexp_matches(text, '[A-Z]{3,}') AS caps, regexp_matches(text, '[!?]{2,}') AS repeated, regexp_matches(lower(text), '[aeiou]{3,}') AS vowels, regexp_matches(lower(text), '[bcdfghjklmnpqrstvwxz]{4,}') AS consonants, len(regexp_extract_all(text, '[^ \\n\\t]+')) <= 5 AS short FROM documents")
-def flt18_features(spark: SparkSession, sf: str) -> DataFrame:
-    t, low = F.col("text"), F.lower("text")
-    return _docs(spark, sf).select(
-        "doc_id", t.rlike("[A-Z]{3,}").alias("caps"), t.rlike("[!?]{2,}").alias("repeated"), low.rlike("[aeiou]{3,}").alias("vowels"), low.rlike("[bcdfghjklmnpqrstvwxz]{4,}").alias("consonants"),
-        (F.regexp_count(t, F.lit(r"[^ \n\t]+")) <= 5).alias("short"),
-    )
-
-
 @query("SELECT doc_id FROM documents WHERE starts_with(source, 'src1') OR starts_with(lang, 'e')")
 def flt21_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where(F.col("source").startswith("src1") | F.col("lang").startswith("e")).select("doc_id")
@@ -193,7 +185,7 @@ def joi02_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return M.resolve_labels(asked, index)
 
 
-_EDGE_LABELS = "pr AS (SELECT l_returnflag AS type, 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS s, 'NATION_' || l_partkey % 30 AS d, l_discount * 20 AS c FROM lineitem WHERE l_quantity = 50)"
+_EDGE_LABELS = "pr AS (SELECT l_returnflag AS type, 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS s, 'NATION_' || l_partkey % 30 AS d, l_discount * 20 AS c FROM lineitem)"
 
 
 @query(f"""WITH {GRAPH}, {_EDGE_LABELS}, ix AS (SELECT lower(label) AS key, min(id) AS id FROM nodes GROUP BY 1), r AS (SELECT 'LINKS' AS type, a.id AS src, b.id AS dst, max(greatest(0, least(1, c))) AS confidence FROM pr JOIN ix a ON a.key = lower(s) JOIN ix b ON b.key = lower(d) WHERE a.id <> b.id GROUP BY 1, 2, 3)
@@ -201,7 +193,7 @@ SELECT type, src, dst, round(confidence, 6) AS confidence FROM r WHERE (type, sr
 def joi04_edges(spark: SparkSession, sf: str) -> DataFrame:
     index = M.label_index(nodes(spark, sf).select("label", "id", F.lit(0).alias("priority")))
     key = F.lpad(F.col("l_suppkey").cast("string"), 9, "0")
-    proposed = table(spark, sf, "lineitem").where("l_quantity = 50").select(
+    proposed = table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("type"), F.concat(F.lit("Supplier#"), key).alias("src_label"), F.concat(F.lit("NATION_"), (F.col("l_partkey") % 30).cast("string")).alias("dst_label"), (F.col("l_discount") * 20).alias("confidence")
     )
     out = M.resolved_edges(proposed, index, edges(spark, sf), ["INVOKES", "SUPPORTS", "LINKS", "SEQUENCE"])
@@ -218,10 +210,10 @@ def joi06_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return M.phrase_hits(_docs(spark, sf).select(F.col("doc_id").alias("text_id"), "text"), phrases).select(F.col("text_id").alias("doc_id"), "id")
 
 
-@query("""WITH a AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM conversations WHERE turn = 0), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark),
+@query("""WITH a AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM conversations), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark),
 s AS (SELECT conv_id, item_id, count(*) AS overlap FROM a JOIN b USING (w) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, item_id) AS k FROM s) SELECT conv_id, item_id, overlap FROM r WHERE k <= 5""")
 def joi15_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    texts = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("text_id"), "text")
+    texts = table(spark, sf, "conversations").select(F.col("conv_id").alias("text_id"), "text")
     return M.word_overlap(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), texts, 5).select(F.col("text_id").alias("conv_id"), F.col("id").alias("item_id"), "overlap")
 
 
@@ -317,15 +309,15 @@ def prj22_invariants(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where(F.length("text") >= 50).select("doc_id", F.array_join(parts, "|").alias("invariants"))
 
 
-@query("SELECT c_mktsegment AS collection, string_agg(c_name, '; ' ORDER BY c_custkey) AS summary FROM customer WHERE c_custkey < 100 GROUP BY 1")
+@query("SELECT c_mktsegment AS collection, string_agg(c_name, '; ' ORDER BY c_custkey) AS summary FROM customer GROUP BY 1")
 def prj26_slabify(spark: SparkSession, sf: str) -> DataFrame:
     names = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])
-    return table(spark, sf, "customer").where("c_custkey < 100").groupBy(F.col("c_mktsegment").alias("collection")).agg(F.array_join(names, "; ").alias("summary"))
+    return table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("collection")).agg(F.array_join(names, "; ").alias("summary"))
 
 
-@query(f"SELECT doc_id, array_to_string({T.search_tokens_sql('substr(text, 1, 400)')}, ' ') AS tokens FROM documents")
+@query(f"SELECT doc_id, array_to_string({T.search_tokens_sql('text')}, ' ') AS tokens FROM documents")
 def sca01_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.array_join(T.search_tokens(F.substring("text", 1, 400)), " ").alias("tokens"))
+    return _docs(spark, sf).select("doc_id", F.array_join(T.search_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS words FROM documents")

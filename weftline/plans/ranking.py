@@ -103,12 +103,12 @@ def top09_greedy_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH sims AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a="a.embedding", b="b.embedding")} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.vec_id < 200 AND b.vec_id < 200),
+WITH sims AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a="a.embedding", b="b.embedding")} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label),
 best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM sims WHERE s >= 0.3)
 SELECT least(a, b) AS node_a, greatest(a, b) AS node_b, max(round(s, 6)) AS similarity FROM best WHERE r <= 3 GROUP BY 1, 2""")
 def top08_affinity(spark: SparkSession, sf: str) -> DataFrame:
     """Three nearest of each vector within its label, as unordered pairs."""
-    own = table(spark, sf, "embeddings").where("vec_id < 200")
+    own = table(spark, sf, "embeddings")
     a = own.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("u"))
     b = own.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("v"))
     sims = a.join(b, "label").where("a <> b").select("a", "b", V.cosine(F.col("u"), F.col("v")).alias("s")).where("s >= 0.3")

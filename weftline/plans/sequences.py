@@ -41,9 +41,9 @@ def win01_drift(spark: SparkSession, sf: str) -> DataFrame:
     return _drift(spark, sf).select("session", "turn", r("affect"), r("volatility"), r("rigor"), r("duration"), r("composite"), "severity", "window")
 
 
-@query("SELECT user_id AS session, event_id AS turn, round(least(1, (event_id - min(event_id) OVER (PARTITION BY user_id)) / CAST(7 AS DOUBLE)), 9) AS duration FROM events")
+@query("SELECT user_id AS session, event_id AS turn, round(least(1, (event_id - min(event_id) OVER (PARTITION BY user_id)) / CAST(7 AS DOUBLE)) + 1e-12::DOUBLE, 6) AS duration FROM events")
 def win02_duration(spark: SparkSession, sf: str) -> DataFrame:
-    return _drift(spark, sf).select("session", "turn", F.round("duration", 6).alias("duration"))
+    return _drift(spark, sf).select("session", "turn", F.round(F.col("duration") + 1e-12, 6).alias("duration"))
 
 
 @query(_DRIFT + """, v AS (SELECT session, CASE WHEN composite <= CASE mode WHEN 'internal' THEN 0.54 ELSE 0.39 END THEN 'none' WHEN composite <= CASE mode WHEN 'internal' THEN 0.79 ELSE 0.69 END THEN 'medium' ELSE 'high' END AS dampening FROM c)
@@ -99,10 +99,10 @@ def win09_shared_entities(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("doc_id").alias("src"), "dst", F.round(F.least(F.lit(0.95), 0.55 + 0.1 * F.size(F.array_intersect("e", "f"))), 6).alias("weight"))
 
 
-@query("""WITH m AS (SELECT l_suppkey AS scope, 'p' || l_partkey AS id, min(l_orderkey) AS ord FROM lineitem WHERE l_suppkey < 10 GROUP BY ALL), l AS (SELECT scope, id AS src, lead(id) OVER (PARTITION BY scope ORDER BY ord, id) AS dst FROM m)
+@query("""WITH m AS (SELECT l_suppkey AS scope, 'p' || l_partkey AS id, min(l_orderkey) AS ord FROM lineitem GROUP BY ALL), l AS (SELECT scope, id AS src, lead(id) OVER (PARTITION BY scope ORDER BY ord, id) AS dst FROM m)
 SELECT scope, src, dst, substr(md5(src || '|' || dst), 1, 12) AS id FROM l WHERE dst IS NOT NULL""")
 def win10_spine(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "lineitem").where("l_suppkey < 10").groupBy(F.col("l_suppkey").alias("scope"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id")).agg(F.min("l_orderkey").alias("ord"))
+    own = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("scope"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id")).agg(F.min("l_orderkey").alias("ord"))
     return S.sequence_edges(own, ["scope"], ["ord", "id"]).withColumn("id", F.substring(F.md5(F.concat("src", F.lit("|"), "dst")), 1, 12))
 
 
@@ -141,13 +141,13 @@ def win15_expanded(spark: SparkSession, sf: str) -> DataFrame:
     return k.join(d, "conv_id").where("(turn >= lo - 3 AND turn < hi + 4) OR back <= 2").select("conv_id", "turn")
 
 
-_DRAFTS = """d AS (SELECT user_id, event_type, min(event_id) AS raised, count(*) - 1 AS refs, round(max(least(1, value / 100)), 6) AS peak FROM events WHERE event_id % 7 = 0 GROUP BY ALL), f AS (SELECT user_id, max(event_id) AS final FROM events GROUP BY user_id)"""
+_DRAFTS = """d AS (SELECT user_id, event_type, min(event_id) AS raised, count(*) - 1 AS refs, round(max(least(1, value / 100)), 6) AS peak FROM events GROUP BY ALL), f AS (SELECT user_id, max(event_id) AS final FROM events GROUP BY user_id)"""
 
 
 @query(f"""WITH {_DRAFTS} SELECT d.user_id, event_type, CASE WHEN refs >= 2 THEN 'CONFIRMED' WHEN refs = 0 AND final - raised < 3 THEN 'FRESH' WHEN refs = 0 THEN 'UNTOUCHED' WHEN peak >= 0.4 THEN 'AMBIGUOUS_KEEP' ELSE 'AMBIGUOUS_DROP' END AS verdict FROM d JOIN f USING (user_id)""")
 def win17_trajectory(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    d = e.where("event_id % 7 = 0").groupBy("user_id", "event_type").agg(F.min("event_id").alias("raised"), (F.count("*") - 1).alias("references"), F.max(F.least(F.lit(1.0), F.col("value") / 100)).alias("peak"))
+    d = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("raised"), (F.count("*") - 1).alias("references"), F.max(F.least(F.lit(1.0), F.col("value") / 100)).alias("peak"))
     final = e.groupBy("user_id").agg(F.max("event_id").alias("final"))
     return S.trajectory(d.join(final, "user_id"), F.col("final")).select("user_id", "event_type", "verdict")
 
@@ -155,7 +155,7 @@ def win17_trajectory(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_DRAFTS} SELECT d.user_id, max(final) AS final, count(*) AS drafts, count(*) FILTER (refs >= 2) AS confirmed FROM d JOIN f USING (user_id) GROUP BY d.user_id""")
 def win18_plan(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    d = e.where("event_id % 7 = 0").groupBy("user_id", "event_type").agg((F.count("*") - 1).alias("refs"))
+    d = e.groupBy("user_id", "event_type").agg((F.count("*") - 1).alias("refs"))
     final = e.groupBy("user_id").agg(F.max("event_id").alias("final"))
     return d.join(final, "user_id").groupBy("user_id").agg(F.max("final").alias("final"), F.count("*").alias("drafts"), F.count_if(F.col("refs") >= 2).alias("confirmed"))
 

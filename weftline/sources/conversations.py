@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Role labels of transcripts.
+# Role labels of transcripts, and openings of user rows that are no messages.
 USER_LABELS = ("human", "user", "me")
 ROLE_LABELS = ("User", "Human", "Me", "Assistant", "AI", "Claude", "Bot")
 HEADER_LABELS = ("Human", "User", "Assistant", "Claude")
+NO_MESSAGE = ("@", "Base directory for this skill")
 _EXCHANGE = "array<struct<role:string,content:string,index:int>>"
 _LEAST_PIECE, _SHORT_TEXT = 100, 200
 
@@ -50,33 +51,43 @@ def export_format(raw: str) -> str:
     return "plaintext"
 
 
-def _blocks(content) -> str:
-    """Text of a message whose content is a string or a list of typed blocks."""
+def _dicts(items) -> list[dict]:
+    return [x for x in items if isinstance(x, dict)] if isinstance(items, list) else []
+
+
+def _blocks(content, between: str = " ") -> str:
+    """Text of a message whose content is a string or a list of typed blocks, joined by ``between``."""
     if isinstance(content, str):
         return content
-    if isinstance(content, list):
-        return "\n".join(b["text"] for b in content if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str))
-    return ""
+    return between.join(b["text"] for b in _dicts(content) if b.get("type") == "text" and isinstance(b.get("text"), str))
 
 
 def _from_messages(data) -> Iterator[tuple[str, str]]:
-    for conv in data if isinstance(data, list) else [data]:
-        for m in (conv or {}).get("chat_messages") or []:
-            yield ("user" if m.get("sender") in ("human", "user") else "assistant"), (m.get("text") or _blocks(m.get("content")))
+    for conv in _dicts(data if isinstance(data, list) else [data]):
+        for m in _dicts(conv.get("chat_messages")):
+            yield ("user" if str(m.get("sender") or "").lower() in ("human", "user") else "assistant"), (m.get("text") or _blocks(m.get("content")))
 
 
 def _from_mapping(data) -> Iterator[tuple[str, str]]:
-    if isinstance(data, list) and data and isinstance(data[0], dict) and "role" in data[0]:
-        data = {"messages": data}
-    for conv in data if isinstance(data, list) else [data]:
-        for m in conv.get("messages") or []:
-            if m.get("role") != "system":
-                yield ("user" if m.get("role") == "user" else "assistant"), _blocks(m.get("content"))
-        found = [n["message"] for n in (conv.get("mapping") or {}).values() if isinstance(n, dict) and n.get("message")]
+    """Nodes of mapping trees by time; every role but user and system counts as the assistant."""
+    for conv in _dicts(data if isinstance(data, list) else [data]):
+        found = [n["message"] for n in (conv.get("mapping") or {}).values() if isinstance(n, dict) and isinstance(n.get("message"), dict)]
         for m in sorted(found, key=lambda m: m.get("create_time") or 0):
-            role = (m.get("author") or {}).get("role")
-            if role in ("user", "assistant"):
-                yield role, "\n".join(p for p in (m.get("content") or {}).get("parts") or [] if isinstance(p, str))
+            role, content = (m.get("author") or {}).get("role"), m.get("content")
+            text = " ".join(p for p in content.get("parts") or [] if isinstance(p, str)) if isinstance(content, dict) else content
+            if role != "system" and isinstance(text, str):
+                yield ("user" if role == "user" else "assistant"), text
+
+
+def _from_array(data) -> list[dict]:
+    """A plain array of messages: roles stay as they are, and numbers are those of the array."""
+    out = []
+    for i, m in enumerate(data.get("messages") or [] if isinstance(data, dict) else data):
+        content = m.get("content") if isinstance(m, dict) else None
+        text = " ".join(map(str, content)) if isinstance(content, list) else content
+        if isinstance(text, str) and text.strip() and m.get("role") != "system":
+            out.append({"role": m.get("role") or "user", "content": text.strip(), "index": i})
+    return out
 
 
 def _from_jsonl(text: str) -> Iterator[tuple[str, str]]:
@@ -85,8 +96,13 @@ def _from_jsonl(text: str) -> Iterator[tuple[str, str]]:
         row = _parsed(line) if line.strip() else None
         if not isinstance(row, dict) or row.get("type") not in ("user", "assistant"):
             continue
-        body = _blocks((row.get("message") or {}).get("content")).strip()
-        if len(body) < 10 or (row["type"] == "user" and body.startswith("@")) or body[:200] in seen:
+        message = row.get("message")
+        content = message.get("content") if isinstance(message, dict) else None
+        if isinstance(content, list):
+            texts = [b if isinstance(b, str) else b.get("text") for b in content if isinstance(b, str) or (isinstance(b, dict) and b.get("type") == "text")]
+            content = "\n".join(t.strip() for t in texts if isinstance(t, str) and t.strip())
+        body = content if isinstance(content, str) else ""
+        if len(body.strip()) < 10 or (row["type"] == "user" and body.startswith(NO_MESSAGE)) or body[:200] in seen:
             continue
         seen.add(body[:200])
         yield row["type"], body
@@ -130,12 +146,16 @@ def exchanges(raw: str | None) -> list[dict]:
     elif kind == "messages_export":
         rows = list(_from_messages(_parsed(text.strip())))
     elif kind == "mapping_export":
-        rows = list(_from_mapping(_parsed(text.strip())))
+        data = _parsed(text.strip())
+        first = data[0] if isinstance(data, list) else data
+        if "mapping" not in first:
+            return _from_array(data)
+        rows = list(_from_mapping(data))
     elif kind == "markdown":
         rows = _labelled(text, rf"(?:^|\n)(?:#{{1,3}}\s*|\*\*)({'|'.join(HEADER_LABELS)})(?:\*\*)?[:\s]*\n?")
     else:
         rows = _from_plain(text)
-    kept = [(r, c.strip()) for r, c in rows if c and c.strip()]
+    kept = [(r, c if kind == "transcript_jsonl" else c.strip()) for r, c in rows if c and c.strip()]
     return [{"role": r, "content": c, "index": i} for i, (r, c) in enumerate(kept)]
 
 
