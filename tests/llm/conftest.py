@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, digest string, score string, line string, target string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, digest string, score string, line string, target string, __id string, __key string, __gone string, h string, row string, kept string, copies string, __copies string, __source string, __last string, __text_key string, `__kept_text` string"
 LONG = "word " * 30000 + "end"
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 ROWS = [
@@ -27,7 +27,7 @@ ROWS = [
 @pytest.fixture(scope="session")
 def edge(spark):
     """Nulls, empty and long texts, repeats, ties, and extra columns whose names clash with those of operators."""
-    rows = [(i, t, None, None if i is None or i % 3 == 0 else f"s{i % 3}", None, "x", "y", "z", "l", "t") for i, t in ROWS]
+    rows = [(i, t, None, None if i is None or i % 3 == 0 else f"s{i % 3}", None, "x", "y", "z", "l", "t", *"abcdefghijkl") for i, t in ROWS]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

@@ -167,6 +167,25 @@ def test_chunks_join_to_the_text(text):
     assert all(len(c) <= chunks.GREATEST for c in chunk)
 
 
+def rolled_chunks(raw):
+    """Chunks by a hash rolled byte by byte, with the rule of marks, least and greatest length."""
+    g, h, out, last = chunks.gear_table().tolist(), 0, [], 0
+    for t, b in enumerate(raw, 1):
+        h = ((h << 1) + g[b]) & 0xFFFFFFFF
+        mark = h >> (32 - chunks.BITS) == 0
+        if t - last == chunks.GREATEST or (mark and t - last >= chunks.LEAST):
+            out.append(raw[last:t])
+            last = t
+    return [*out, raw[last:]] if last < len(raw) else out
+
+
+@given(st.one_of(st.binary(max_size=4000), st.integers(0, 10**6).map(lambda n: np.random.default_rng(n).integers(97, 110, 6000, dtype=np.uint8).tobytes())))
+@settings(max_examples=60, deadline=None)
+def test_boundaries_equal_a_rolling_scan(raw):
+    ends = chunks.boundaries(np.frombuffer(raw, np.uint8))
+    assert [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)] == rolled_chunks(raw)
+
+
 def test_gear_hash_is_a_rolling_sum():
     raw = np.frombuffer(b"some text that is longer than the window of the gear hash, much longer", np.uint8)
     g, h = chunks.gear_table(), 0

@@ -28,12 +28,28 @@ BATCHED = 64
 REMEMBERED = 300_000
 
 
+# Letters and numbers of Unicode 16, and capitals with the distance of their small letters, that older interpreters do not know.
+NEWER = {
+    "L": (
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+        (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+        (0x1E5F0, 0x1E5F0),
+    ),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
+NEWER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -0xA567), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -0xA641), (0x10D50, 0x10D65, 0x20),
+    (0x16EA0, 0x16EB8, 0x1B),
+)
+_SMALL = {c: c + d for a, b, d in NEWER_CAPITALS for c in range(a, b + 1)}
+
 
 def _classes() -> tuple[str, str]:
-    """Letters and numbers as character ranges, by the general categories of the standard library."""
+    """Letters and numbers as character ranges, by the general categories of the standard library and the newer ones."""
     out: dict[str, list[list[int]]] = {"L": [], "N": []}
+    newer = {c: k for k, own in NEWER.items() for a, b in own for c in range(a, b + 1)}
     for i in range(sys.maxunicode + 1):
-        ranges = out.get(unicodedata.category(chr(i))[0])
+        ranges = out.get(newer.get(i, unicodedata.category(chr(i))[0]))
         if ranges is not None:
             if ranges and ranges[-1][1] == i - 1:
                 ranges[-1][1] = i
@@ -62,12 +78,31 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+#: The parts of a definition that this class carries out; any other definition is refused.
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+MODEL_PARTS = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
 class Bpe:
     """A tokenizer read from a JSON definition: NFC, white space, lower case, pieces, word-end BPE."""
 
     def __init__(self, definition: str) -> None:
         spec = json.loads(definition)
         model = spec["model"]
+        other = [k for k, v in PARTS.items() if spec.get(k) != v] + [k for k, v in MODEL_PARTS.items() if model.get(k, v) != v]
+        if other:
+            raise ValueError(f"not a definition of this kind: {', '.join(other)}")
         self.end = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -111,7 +146,7 @@ class Bpe:
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         else:
             text = text.lower()
-        return (_PIECES if _UNUSUAL.search(text) else _PLAIN).findall(text)
+        return _PIECES.findall(text.translate(_SMALL)) if _UNUSUAL.search(text) else _PLAIN.findall(text)
 
     def parts(self, text: str) -> list[str]:
         """Pieces and special tokens of a whole text, in order; specials keep their own spelling."""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.rows import field, packed, unpacked
 from weftline.session import Scratch, ship
 
 #: Least and greatest chunk in bytes; a boundary comes each 2**BITS bytes on average after the least.
@@ -256,16 +257,16 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs`` with the column __kept_text: its text without the spans that stand earlier.
 
-    Cuts move inwards to whole characters. All rows and columns stay; a null text stays null.
+    Cuts move inwards to whole characters. All rows and columns stay, whatever their names (but for one of that
+    name); null and empty texts stay as they are, and an empty table gives no rows.
     """
+    docs = docs.drop("__kept_text")
     scratch = Scratch(docs.sparkSession)
     cut = repeated_spans(docs, min_bytes).where(~F.col("kept"))
-    cut = scratch.save(cut.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("begin", "finish"))).alias("__cut")))
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "__cut")
-    text = F.col("text").cast("string")
-    joined = docs.withColumn("__text_key", F.xxhash64(text)).join(
-        cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"
-    )
+    cut = scratch.save(cut.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("begin", "finish"))).alias("cut")))
+    text = field("text").cast("string")
+    same = field("doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("row_key"))
+    joined = packed(docs).withColumn("text_key", F.xxhash64(text)).join(cut, same, "left")
 
     @F.pandas_udf("string")
     def kept(texts, cuts):
@@ -288,4 +289,4 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    return joined.select(*[joined[c] for c in docs.columns], kept(text, F.col("__cut")).alias("__kept_text"))
+    return joined.select(*unpacked(docs), kept(text, F.col("cut")).alias("__kept_text"))

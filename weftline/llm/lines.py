@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.rows import field, packed, unpacked
 from weftline.operators.components import connected_components
 from weftline.session import Scratch, ship
 
@@ -655,32 +656,36 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     return gone.groupBy("p.doc_id", "p.row_key").agg(F.array_sort(F.collect_set("p.line_no")).alias("removed"))
 
 
+def _deduped(docs: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(row, kept, lost): each row with its text without repeated lines, and how many went."""
+    gone = removed_lines(docs, similarity, block).select(F.col("doc_id").alias("id"), "row_key", "removed")
+    text = field("text").cast("string")
+    same = field("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("row_key"))
+    joined = packed(docs).withColumn("text_key", F.xxhash64(text)).join(gone, same, "left")
+    # the split text is bound once, and each line found by its number: linear in very long texts
+    split = F.split(text, "\n", -1)
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
+    kept = F.transform(F.array(split), lambda all_: F.array_join(F.transform(numbers, lambda i: F.get(all_, i)), "\n"))[0]
+    return joined.select("row", F.when(F.col("removed").isNull(), text).otherwise(kept).alias("kept"), F.coalesce(F.size("removed"), F.lit(0)).alias("lost"))
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``docs`` with two more columns: the text without repeated lines, and how many were removed.
 
-    They are __kept_text (null for a null text) and __removed (int); all rows and columns stay.
+    They are __kept_text (null for a null text) and __removed (int), in place of columns of these names. All rows
+    and the other columns stay, whatever their names; an empty table gives no rows.
     """
-    gone = removed_lines(docs, similarity, block).select(
-        F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("removed").alias("__gone")
-    )
-    text = F.col("text").cast("string")
-    joined = docs.withColumn("__text_key", F.xxhash64(text)).join(
-        gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"
-    )
-    # the split text is bound once, and each line found by its number: linear in very long texts
-    split = F.split(text, "\n", -1)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
-    kept = F.transform(F.array(split), lambda all_: F.array_join(F.transform(numbers, lambda i: F.get(all_, i)), "\n"))[0]
-    return joined.select(
-        *[joined[c] for c in docs.columns],
-        F.when(F.col("__gone").isNull(), text).otherwise(kept).alias("__kept_text"),
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"),
-    )
+    own = docs.drop("__kept_text", "__removed")
+    return _deduped(own, similarity, block).select(*unpacked(own), F.col("kept").alias("__kept_text"), F.col("lost").alias("__removed"))
 
 
 def kept_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with deduplicated texts; n_chars, if there, follows. A document left without any line goes."""
-    out = dedup_lines(docs, similarity)
-    out = out.where((F.col("__removed") == 0) | (F.trim("__kept_text") != ""))
-    cols = {"text": F.col("__kept_text"), "n_chars": F.when(F.col("__removed") > 0, F.length("__kept_text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[cols[c].cast(docs.schema[c].dataType).alias(c) if cols.get(c) is not None else F.col(c) for c in docs.columns])
+    """``docs`` with deduplicated texts; n_chars, if there, follows. A document left without any line goes.
+
+    Null, empty and blank texts lose nothing and stay, as do all columns; an empty table gives no rows.
+    """
+    out = _deduped(docs, similarity, BLOCK).where((F.col("lost") == 0) | (F.trim("kept") != ""))
+    new = {"text": F.col("kept").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("lost") > 0, F.length("kept")).otherwise(field("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*unpacked(docs, new))

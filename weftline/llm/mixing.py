@@ -2,26 +2,28 @@
 
 The documents of a source queue in the order of a hash; every pass over the source queues them
 again, three at most. The virtual finish time of a place in the queue is the number of words its
-source has served up to it, divided by the source's target. All places are ordered by finish time
-and cut where their words reach the budget, the number of words of all documents. Sums of hash
-buckets stand between documents and sources, so no source is ever in one task, and the mix itself
-comes down to the last hash taken of each source and pass.
+source has served up to it, divided by the source's target. All places are sorted globally by finish
+time, range by range, and cut where their words reach the budget, the number of words of all documents:
+the sums of the ranges tell the range of the cut, and its own rows the place. Sums of hash buckets stand
+between documents and sources, so no source is ever in one task, and the mix itself comes down to the
+last hash taken of each source and pass.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.rows import field, packed, unpacked
 from weftline.session import Scratch
 
 #: Most copies of a document, and so of a source's words.
 COPIES = 3
-#: Characters of the hash that name a bucket within a source.
-BUCKET_CHARS = 3
-#: Steps of finish time, up to 2, whose words are summed to find the cut.
-STEPS = 4096
+#: Rows of a bucket within a source, in the mean and at most; first characters of the hash name the bucket.
+BUCKET_ROWS = 1 << 16
 
 
 def size_in_words() -> Column:
@@ -29,9 +31,9 @@ def size_in_words() -> Column:
     return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def shuffle_key() -> Column:
+def shuffle_key(within: str = "") -> Column:
     """The place of a document in its source's queue: an MD5 of doc_id and text."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = lambda c: F.coalesce(F.col(within + c).cast("string"), F.lit(""))
     return F.md5(F.concat(text("doc_id"), F.lit(":"), text("text")))
 
 
@@ -65,8 +67,9 @@ def plan(slim: DataFrame, scratch: Scratch) -> DataFrame:
     last[c] is null if pass c takes nothing.
     """
     source = lambda: F.col("source")
-    bucket = F.substring("h", 1, BUCKET_CHARS)
-    slim = scratch.save(slim.select("source", "size", "h", bucket.alias("bucket")))
+    slim = scratch.save(slim.select("source", "size", "h"))
+    chars = max(1, math.ceil(math.log(max(1, slim.count() / BUCKET_ROWS), 16)))
+    slim = slim.withColumn("bucket", F.substring("h", 1, chars))
     sums = scratch.save(slim.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     goal = scratch.save(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))))
     budget = goal.agg(F.sum("source_size")).first()[0]
@@ -80,18 +83,19 @@ def plan(slim: DataFrame, scratch: Scratch) -> DataFrame:
     queued = slim.join(base, slim["source"].eqNullSafe(base["s"]) & (slim["bucket"] == base["b"]))
     served = queued.withColumn("served", F.sum("size").over(queue) + F.col("earlier"))
     places = scratch.save(served.select("source", "h", "size", *[_finish(c).alias(f"t{c}") for c in range(COPIES)]))
-    step = lambda t: F.least(F.floor(t * STEPS), F.lit(2 * STEPS)).cast("long")
     each = F.explode(F.array(*[F.struct(F.col(f"t{c}").alias("t"), F.lit(c).alias("copy")) for c in range(COPIES)])).alias("p")
-    queue_all = places.select("h", "size", each).select("h", "size", "p.t", "p.copy").withColumn("step", step(F.col("t")))
-    by_step = queue_all.groupBy("step").agg(F.sum("size").alias("words"))  # at most 2 * STEPS + 1 rows
-    reached = by_step.withColumn("sum", F.sum("words").over(W.orderBy("step")))
-    over = reached.where(F.col("sum") > budget).orderBy("step").limit(1).collect()
+    n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("t", "h", "copy")
+    queue_all = places.where("size > 0").select("h", "size", each).select("h", "size", "p.t", "p.copy")
+    ranged = scratch.save(queue_all.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+    reached = ranged.groupBy("range").agg(F.sum("size").alias("words")).withColumn("sum", F.sum("words").over(W.orderBy("range")))  # a row for each of n ranges
+    over = reached.where(F.col("sum") > budget).orderBy("range").limit(1).collect()
     last = [F.max("h").alias(f"l{c}") for c in range(COPIES)]
     if over:
         before = over[0]["sum"] - over[0]["words"]
-        inside = queue_all.where(F.col("step") == over[0]["step"])
-        order = W.orderBy("t", "h", "copy").rowsBetween(W.unboundedPreceding, 0)
-        cut = inside.withColumn("sum", F.sum("size").over(order) + before).where(F.col("sum") > budget).orderBy("t", "h", "copy").limit(1).collect()[0]
+        inside = ranged.where(F.col("range") == over[0]["range"])
+        running = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        cut = inside.withColumn("sum", F.sum("size").over(running) + before).where(F.col("sum") > budget).orderBy(*order).limit(1).collect()[0]
         t, h, copy = F.lit(cut["t"]), F.lit(cut["h"]), cut["copy"]
         taken = lambda c: (F.col(f"t{c}") < t) | ((F.col(f"t{c}") == t) & ((F.col("h") < h) | ((F.col("h") == h) & F.lit(c < copy))))
         last = [F.max(F.when(taken(c), F.col("h"))).alias(f"l{c}") for c in range(COPIES)]
@@ -128,11 +132,17 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
+
+    Rows without words take no place of their own and come with the place before the cut that sorts after them.
+    Null texts have no words, a null source is a source of its own, repeated rows are taken together, and an
+    empty table gives no rows.
+    """
     goal, _ = _mixed(docs, size_in_words())
-    joined = docs.withColumn("__h", shuffle_key()).join(goal, docs["source"].cast("string").eqNullSafe(goal["__source"]))
-    copies = joined.withColumn("__copies", _copies(F.col("__h"))).where("__copies > 0")
-    return copies.select(*[copies[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    keyed = packed(docs).withColumn("h", shuffle_key("row."))
+    joined = keyed.join(goal, field("source").cast("string").eqNullSafe(F.col("__source")))
+    copies = joined.withColumn("copies", _copies(F.col("h"))).where("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*unpacked(docs))
 
 
 SQL = r"""

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.session import ship
@@ -21,8 +22,8 @@ from weftline.session import ship
 #: Bytes a chunk is long, and how far the next one begins: each byte lies in two chunks.
 CHUNK, STRIDE = 256, 128
 FILTERS, WIDTH = 8, 4
-#: Bound of the labelled sample: rows, and bytes of a sampled text.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16_384
+#: Bound of the labelled sample: rows, and bytes of their whole texts together.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 26
 THRESHOLD = 0.3
 
 
@@ -161,12 +162,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> ByteNet:
-    """Fits on at most ``rows`` labelled documents outside the held-out part, in order of a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> ByteNet:
+    """Fits on the whole texts of at most ``rows`` labelled documents outside the held-out part.
 
-    A sampled text is read up to ``text_bytes``; scoring always reads whole texts. Each label has
-    half of the sample if it has so many rows, and scores
-    are moved to the shares of the labels outside the held-out part. Null labels are skipped, repeated ids count once; without labels of both kinds the
+    Rows are taken in order of a hash of the id, as long as their texts have no more than ``sample_bytes``
+    together. Each label has half of both bounds, and scores are moved to the shares of the labels outside
+    the held-out part. Null labels are skipped, repeated ids count once; without labels of both kinds the
     score is constant.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -174,10 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_byte
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     halves = [known.where(F.col("quality") == q).orderBy(*order).limit(rows // 2) for q in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.encode(F.col("text").cast("string"), "UTF-8"), 1, text_bytes).alias("raw"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("raw"))
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"), F.min("quality").alias("quality"))
+    queue = W.partitionBy("quality").orderBy(*order)  # of at most half of the rows
+    found = found.withColumn("bytes", F.sum(F.coalesce(F.octet_length("raw"), F.lit(0))).over(queue)).where(F.col("bytes") <= sample_bytes // 2)
     share = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows at most
-    sample = sorted((r.doc_id, bytes(r.raw or b""), r.quality) for r in found.collect())  # bounded by rows and text_bytes
+    sample = sorted((r.doc_id, bytes(r.raw or b""), r.quality) for r in found.collect())  # bounded by rows and sample_bytes
     net = ByteNet().fit([r[1] for r in sample], [r[2] for r in sample])
     if len(share) == 2:  # from the halves of the sample to the shares among all labels
         net.shift = math.log(share[1] / share[0])
@@ -208,7 +211,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns.
+
+    Null and empty texts are scored as empty ones, repeated rows stay or go together, columns besides text
+    are neither read nor changed, and an empty table gives no rows.
+    """
     net = train(docs, labels)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
