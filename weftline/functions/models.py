@@ -60,11 +60,17 @@ def missing_vectors(rows: DataFrame, cache: DataFrame, key: str) -> tuple[DataFr
 
 
 def extracted(df: DataFrame, prompt: Column, schema: str, extractor: Extractor, name: str = "found") -> DataFrame:
-    """``df`` with the extractor's answer to each prompt, read by a schema; answers that don't fit are null."""
+    """``df`` with the extractor's answer to each prompt, read by a schema; answers that fail or don't fit are null."""
+
+    def answer(prompt: str | None) -> str | None:
+        try:
+            return json.dumps(extractor(prompt or ""))
+        except Exception:
+            return None
 
     @F.pandas_udf(StringType())
     def ask(prompts: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(extractor(p or "")) for p in prompts])
+        return pd.Series([answer(p) for p in prompts], dtype=object)
 
     return df.withColumn(name, F.from_json(ask(prompt), schema))
 

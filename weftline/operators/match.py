@@ -76,8 +76,8 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def word_overlap(catalog: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(text_id, id, overlap): the k entries that share most words with a text, ties to the smaller id."""
-    a = texts.select("text_id", F.explode(T.word_set(F.col("text"))).alias("w"))
-    b = catalog.select("id", F.explode(T.word_set(F.col("text"))).alias("w"))
+    a = texts.select("text_id", F.explode(T.word_set(F.col("text"))).alias("w")).distinct()
+    b = catalog.select("id", F.explode(T.word_set(F.col("text"))).alias("w")).distinct()
     shared = a.join(b, "w").groupBy("text_id", "id").agg(F.count("*").alias("overlap"))
     best = W.partitionBy("text_id").orderBy(F.desc("overlap"), "id")
     return shared.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).drop("k")

@@ -281,10 +281,10 @@ def ded06_bundle_merge(spark: SparkSession, sf: str) -> DataFrame:
 l AS (SELECT 'c' || o_custkey AS anchor, 's' || o_orderkey % 7 AS slab FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000),
 m AS (SELECT src AS bundle, dst AS anchor FROM edges WHERE type = 'PARENT_OF' AND weight > 0.7), w AS (SELECT 'n' || s_nationkey AS bundle, count(*) AS w FROM supplier WHERE s_acctbal > 5000 GROUP BY 1),
 own AS (SELECT anchor, count(DISTINCT slab) AS n, min(slab) AS first FROM l WHERE slab IN (SELECT id FROM nodes WHERE type = 'slab') GROUP BY 1), via AS (SELECT anchor, max(w) AS n FROM m JOIN w USING (bundle) GROUP BY 1),
-sem AS (SELECT src AS id FROM edges WHERE type = 'CONFLICTS' UNION SELECT dst FROM edges WHERE type = 'CONFLICTS')
-SELECT a.id, coalesce(own.n, 0) AS own_reach, coalesce(via.n, 0) AS bundle_reach,
- CASE WHEN a.id IN (SELECT id FROM sem) OR coalesce(own.n, 0) >= 2 OR coalesce(via.n, 0) >= 2 THEN 'KEEP' WHEN own.n = 1 THEN 'DEMOTE' ELSE 'ORPHAN' END AS verdict, CASE WHEN verdict = 'DEMOTE' THEN own.first END AS parent
-FROM a LEFT JOIN own ON own.anchor = a.id LEFT JOIN via ON via.anchor = a.id""")
+sem AS (SELECT src AS id FROM edges WHERE type = 'CONFLICTS' UNION SELECT dst FROM edges WHERE type = 'CONFLICTS'),
+v AS (SELECT a.id, coalesce(own.n, 0) AS own_reach, coalesce(via.n, 0) AS bundle_reach, own.first, CASE WHEN a.id IN (SELECT id FROM sem) OR coalesce(own.n, 0) >= 2 OR coalesce(via.n, 0) >= 2 THEN 'KEEP' WHEN own.n = 1 THEN 'DEMOTE' ELSE 'ORPHAN' END AS verdict
+FROM a LEFT JOIN own ON own.anchor = a.id LEFT JOIN via ON via.anchor = a.id)
+SELECT id, own_reach, bundle_reach, verdict, CASE WHEN verdict = 'DEMOTE' THEN first END AS parent FROM v""")
 def ded08_consolidation(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors linked to slabs by orders, in bundles by nation, kept by conflicts."""
     n, e = nodes(spark, sf), edges(spark, sf)

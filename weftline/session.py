@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,14 +31,37 @@ def get_spark(app: str = "weftline", master: str | None = None, **conf: str) ->
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only if it is unset."""
+    """The folder named by spark.checkpoint.dir; on a local master that names none, a temporary one, deleted at exit.
+
+    On a cluster the folder must be named: executors could not read one another's temporary folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        root = "file://" + path
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_BASES: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all scratch tables of this process, once no frame that reads them is used any more; returns how many folders went."""
+    n = len(_BASES)
+    while _BASES:
+        _delete(spark, _BASES.pop())
+    return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -57,14 +82,15 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """Parquet tables in the shared scratch folder: they cut lineage and outlive lost executors.
 
-    ``save`` writes and rereads a frame, ``drop`` deletes tables that no later plan reads.
+    ``save`` writes and rereads a frame, ``drop`` deletes tables that no later plan reads, and ``release`` all
+    that are left, when the results that read them have been taken.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/weftline-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        _BASES.append(self.base)
 
     def save(self, df: DataFrame, dictionary: bool = True) -> DataFrame:
         """Without a dictionary, hashes and digests, which never repeat, are written faster."""
@@ -72,7 +98,6 @@ class Scratch:
         path = f"{self.base}/{self.n}"
         df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._weftline_path = path
         return out
 
@@ -93,7 +118,5 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._weftline_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df._weftline_path)
