@@ -194,7 +194,8 @@ def marked_sections(raw: str | None, marks: list[tuple[str, str]]) -> list[dict]
         if at >= 0:
             found.append([label, at])
             cursor = at + 1
-    if found:
-        found[0][1] = 0
+    if not found:
+        return []
+    found[0][1] = 0
     ends = [at for _, at in found[1:]] + [len(text)]
     return [{"label": label, "start": at, "end": end} for (label, at), end in zip(found, ends, strict=True) if text[at:end].strip()]

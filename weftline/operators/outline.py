@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.models import accent_folded
+from weftline.operators.match import sequence_ratio
 from weftline.session import Scratch
 
 # A section number, path parts that say nothing, lengths of quotes, and the least likeness of a quote to a paragraph.
@@ -88,11 +87,6 @@ def heading_paths(paragraphs: DataFrame) -> DataFrame:
     return marked.select("doc", "pos", "text", F.array_compact(F.array(*[part(k) for k in range(1, 7)])).alias("path"), F.col("level").isNotNull().alias("heading"))
 
 
-@F.pandas_udf("double")
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
 def evidence_paths(sidecars: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(id, path, how) of ``sidecars(id, doc, quotes, topics, locators)`` in ``heading_paths`` rows of their document.
 
@@ -114,7 +108,7 @@ def evidence_paths(sidecars: DataFrame, paragraphs: DataFrame) -> DataFrame:
     found = by_quote.unionByName(by_number)
     longer = F.greatest(F.length("q"), F.length("t"))
     near = pairs.join(found.select("id"), "id", "left_anti").where(2 * F.least(F.length("q"), F.length("t")) >= ALIKE * (longer + F.least(F.length("q"), F.length("t"))))
-    alike = near.withColumn("r", _ratio("q", "t")).where(F.col("r") >= ALIKE).groupBy("id").agg(F.min(F.struct((-F.col("r")).alias("r"), "n", "pos", "path")).alias("m")).select("id", "m.path", F.lit("fuzzy_quote").alias("how"))
+    alike = near.withColumn("r", sequence_ratio("q", "t")).where(F.col("r") >= ALIKE).groupBy("id").agg(F.min(F.struct((-F.col("r")).alias("r"), "n", "pos", "path")).alias("m")).select("id", "m.path", F.lit("fuzzy_quote").alias("how"))
     found = scratch.save(found.unionByName(alike))
     kept = sidecars.join(found.select("id"), "id", "left_anti").select("id", F.filter("topics", lambda t: ~F.trim(t).rlike(MECHANICAL)).alias("path"))
     return found.unionByName(kept.select("id", "path", F.when(F.size("path") > 0, "retained").otherwise("unresolved").alias("how")))

@@ -130,20 +130,21 @@ def udf05_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return M.conversation(m, {"on": ["tion", "on"], "er": ["er"]}, lambda _: answer, least=0.2).select("type", "label", "confidence")
 
 
-@query("SELECT doc_id, segment, length(text) AS chars FROM (SELECT doc_id, 0 AS segment, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM documents) WHERE length(text) BETWEEN 100 AND 2000 AND NOT regexp_matches(text, '\\n\\s*\\n')")
+@query("""WITH d AS (SELECT doc_id, 0 AS segment, text AS whole, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM d WHERE length(text) BETWEEN 100 AND 2000 AND NOT regexp_matches(whole, '\\n\\s*\\n'))
+SELECT doc_id, segment, length(text) AS chars FROM o WHERE k = 1""")
 def udf09_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Proposals of documents that are one segment, by a model that measures its prompt."""
+    """Proposals of documents that are one segment, by a model that answers each prompt by a label of its own; copies are one."""
     ship(spark)
     d = table(spark, sf, "documents")
     bare = F.regexp_replace("text", r"^[ \n\t\r]+|[ \n\t\r]+$", "")
     one = d.where(F.length(bare).between(100, 2000) & ~F.col("text").rlike(r"\n\s*\n")).select("doc_id", "text")
-    out = M.document(one, lambda p: {"proposals": [{"type": "bundle", "label": f"{hash_free(p)}"}]}, least=0.1)
+    out = M.document(one, lambda p: {"proposals": [{"type": "bundle", "label": prompt_name(p)}]}, least=0.1)
     lengths = out.select(F.col("key.doc_id").alias("doc_id"), F.col("key.segment").cast("int").alias("segment"))
     parts = one.select("doc_id", F.length(bare).cast("long").alias("chars"))
     return lengths.join(parts, "doc_id").select("doc_id", "segment", "chars")
 
 
-def hash_free(prompt: str) -> str:
+def prompt_name(prompt: str) -> str:
     """A label that differs for different prompts."""
     import xxhash
 
