@@ -1,9 +1,11 @@
 """Outlines, heading paths, renderers and miners on worked examples."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from weftline.functions import render
-from weftline.operators import miners, outline
+from weftline.operators import miners, outline, records
 from weftline.session import ship
 
 
@@ -64,3 +66,34 @@ def test_failing_models_leave_nothing_behind(spark):
 def test_orphans_go_in_batches(spark):
     out = miners.orphan_batches(spark.range(250).withColumnRenamed("id", "i"), [F.col("i")]).groupBy("batch").count().collect()
     assert sum(r["count"] for r in out) == 250 and {r.batch for r in out} <= set(range(5))
+
+
+def brute_place(text, marker, cursor):
+    if not marker.strip():
+        return -1
+    at = text.find(marker, cursor)
+    if at >= 0:
+        return at
+    wanted = set(re.findall(r"\w+", marker.lower()))
+    best, score = -1, 0.0
+    for m in re.finditer(r"\n\s*\n", text):
+        if m.end() >= cursor and len(wanted) >= 3:
+            share = len(wanted & set(re.findall(r"\w+", text[m.end() : m.end() + max(len(marker) + 40, 160)].lower()))) / len(wanted)
+            if share > score:
+                best, score = m.end(), share
+    return best if score >= 0.6 else -1
+
+
+def test_markers_are_placed_by_text_or_by_words(spark):
+    text = "Opening words stand here.\n\nThe second part is about salt and water.\n \n\nA third one follows, about sand.\n\nThe second part again, of salt and water."
+    cases = [("Opening", 0), ("Opening", 5), ("second part is about salty water", 0), ("second part is about salty water", 60), ("about sand follows third one more", 0), ("no such thing here", 0), ("", 0), ("salt", 70), ("two words", 0)]
+    df = spark.createDataFrame([(i, text, m, c) for i, (m, c) in enumerate(cases)], "i int, t string, m string, c int")
+    got = {r.i: r.p for r in df.select("i", records.marker_place(F.col("t"), F.col("m"), F.col("c")).alias("p")).collect()}
+    assert got == {i: brute_place(text, m, c) for i, (m, c) in enumerate(cases)}
+
+
+def test_headings_and_concepts(spark):
+    cases = {"Ends, Means, and Ways": True, "Neural Gravity": False, "the pull of words": False, "": True, "Scope and Aim": True, "sand and salt": False, "First Second Third Fourth": True, "First of the Many": False}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "p string")
+    got = {r.p: r.h for r in df.select("p", records.is_heading(F.col("p")).alias("h")).collect()}
+    assert got == cases | {None: True}

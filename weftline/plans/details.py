@@ -26,67 +26,6 @@ def prj05_selected_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return nodes(spark, sf).select("id", "type", T.first_of(F.col("label"), F.col("id")).alias("name"), F.lit(0.85).alias("confidence"))
 
 
-@query(f"WITH {GRAPH} SELECT type, src, dst, weight FROM edges UNION ALL SELECT 'LINKS', 'o' || l_orderkey, 'p' || l_partkey, CAST(0.8 AS DOUBLE) FROM lineitem UNION ALL SELECT 'INVOKES', 'o' || l_orderkey, 's' || l_suppkey, CAST(0.9 AS DOUBLE) FROM lineitem")
-def prj07_render_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Corpus edges with those that references imply, at fixed weights."""
-    to = lambda p, c, t, w: F.struct(F.lit(t).alias("type"), F.concat(F.lit(p), F.col(c).cast("string")).alias("dst"), F.lit(w).alias("weight"))
-    implied = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.inline(F.array(to("p", "l_partkey", "LINKS", 0.8), to("s", "l_suppkey", "INVOKES", 0.9))))
-    return edges(spark, sf).select("type", "src", "dst", "weight").unionByName(implied)
-
-
-@query("SELECT source, list_sort(list_distinct(list(length(lang) + doc_id % 4)))[1] AS top_level, list_sort(list_distinct(list(length(lang) + doc_id % 4)))[least(2, len(list_distinct(list(length(lang) + doc_id % 4))))] AS chapter_level FROM documents GROUP BY source")
-def prj12_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """The two smallest levels present, or the only one twice."""
-    levels = _docs(spark, sf).groupBy("source").agg(F.array_sort(F.collect_set(F.length("lang") + F.col("doc_id") % 4)).alias("l"))
-    return levels.select("source", F.col("l")[0].alias("top_level"), F.element_at("l", F.least(F.size("l"), F.lit(2))).alias("chapter_level"))
-
-
-@query("SELECT c_custkey, r_name || ' / ' || n_name || ' / ' || c_mktsegment AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def prj14_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Ancestor paths over a tree of fixed depth."""
-    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
-    out = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return out.select("c_custkey", F.concat_ws(" / ", "r_name", "n_name", "c_mktsegment").alias("path"))
-
-
-@query("""WITH m AS (SELECT doc_id, unnest([1, 2, 3]) AS k, length(text) AS n FROM documents WHERE length(text) > 300), p AS (SELECT doc_id, k, (k - 1) * (n // 3) AS start, n FROM m) SELECT doc_id, k, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY k), n) AS "end" FROM p""")
-def prj16_sub_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Markers that tile their parent: each part ends where the next begins."""
-    m = _docs(spark, sf).where("length(text) > 300").select("doc_id", F.length("text").cast("long").alias("n"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
-    p = m.withColumn("start", F.expr("(k - 1) * (n div 3)"))
-    return p.select("doc_id", "k", "start", F.coalesce(F.lead("start").over(W.partitionBy("doc_id").orderBy("k")), F.col("n")).alias("end"))
-
-
-_MECHANICAL = r"^(?:(?:segment|section|part|chapter|page) +)?(?:[0-9]+(?:\.[0-9]+)*|[ivxlc]+)$"
-
-
-@query(f"""WITH a AS (SELECT p_partkey, list_filter(list_transform(string_split(p_brand || ' / segment ' || p_size || ' / ' || p_type || ' / 4.' || p_size, '/'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(lower(x), '{_MECHANICAL}')) AS p FROM part) SELECT p_partkey, array_to_string(p, ' / ') AS path FROM a""")
-def prj19_semantic_path(spark: SparkSession, sf: str) -> DataFrame:
-    """Path atoms without mechanical locators."""
-    raw = F.concat(F.col("p_brand"), F.lit(" / segment "), F.col("p_size").cast("string"), F.lit(" / "), F.col("p_type"), F.lit(" / 4."), F.col("p_size").cast("string"))
-    atoms = F.filter(F.transform(F.split(raw, "/"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).rlike(_MECHANICAL))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(atoms, " / ").alias("path"))
-
-
-@query("SELECT p_partkey, p_type || ' / ' || replace(p_name || ' / x', ' / ', ' + ') AS topic FROM part")
-def prj20_topic(spark: SparkSession, sf: str) -> DataFrame:
-    parts = F.array(F.col("p_type"), F.replace(F.concat("p_name", F.lit(" / x")), F.lit(" / "), F.lit(" + ")))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(parts, " / ").alias("topic"))
-
-
-@query("SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN NULLIF('', '') ELSE p_name END, NULLIF(p_type, 'ECONOMY'), p_brand) AS title FROM part")
-def prj21_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """A field from the inline payload, else from the packet, else from the raw sidecar."""
-    inline = F.when(F.col("p_size") % 3 == 0, None).when(F.col("p_size") % 3 == 1, "").otherwise(F.col("p_name"))
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(F.nullif(inline, F.lit("")), F.nullif("p_type", F.lit("ECONOMY")), F.col("p_brand")).alias("title"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'anchor' WHEN p_size < 30 THEN 'slab' ELSE 'bundle' END AS type, CASE WHEN p_size < 10 THEN p_name WHEN p_size < 30 THEN p_brand || ': ' || p_name ELSE p_type END AS payload FROM part WHERE p_retailprice > 901")
-def prj23_packets(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("p_size") < 10, "anchor").when(F.col("p_size") < 30, "slab").otherwise("bundle")
-    payload = F.when(F.col("p_size") < 10, F.col("p_name")).when(F.col("p_size") < 30, F.concat("p_brand", F.lit(": "), "p_name")).otherwise(F.col("p_type"))
-    return table(spark, sf, "part").where("p_retailprice > 901").select("p_partkey", kind.alias("type"), payload.alias("payload"))
-
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, least(1, greatest(0, coalesce(nullif(value / 100, 0), 0.5))) AS confidence FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 30")
 def prj24_proposals(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,156 +35,6 @@ def prj24_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", k.alias("k"), conf.alias("confidence")).where("k >= 30")
 
 
-@query("""SELECT user_id, string_agg(event_type || '=' || n, ' ' ORDER BY event_type) AS frame, count(*) AS nodes FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
-def prj29_frame(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    m = F.array_sort(F.collect_list(F.struct("event_type", "n")))
-    return n.groupBy("user_id").agg(F.array_join(F.transform(m, lambda x: F.concat(x["event_type"], F.lit("="), x["n"].cast("string"))), " ").alias("frame"), F.count("*").alias("nodes"))
-
-
-@query("""SELECT 'p' || p_partkey AS target, p_name AS text FROM part WHERE p_size < 5 UNION ALL SELECT 'd' || doc_id, substr(text, 1, 600) FROM documents""")
-def prj31_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """What a search looks through, phrases and texts, by the id they lead to."""
-    p = table(spark, sf, "part").where("p_size < 5").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("target"), F.col("p_name").alias("text"))
-    return p.unionByName(_docs(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("target"), F.substring("text", 1, 600).alias("text")))
-
-
-@query("SELECT o_custkey, o_orderkey, o_custkey * 1000 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position FROM orders")
-def prj34_positions(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_custkey") * 1000 + n - 1).alias("position"))
-
-
-@query("WITH r AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_brand, string_agg(p_name, '; ' ORDER BY k) AS context FROM r WHERE k <= 8 GROUP BY p_brand")
-def prj38_context(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
-    top = table(spark, sf, "part").withColumn("k", k).where("k <= 8").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("k", "p_name"))).alias("l"))
-    return top.select("p_brand", F.array_join(F.transform("l", lambda x: x["p_name"]), "; ").alias("context"))
-
-
-@query("SELECT o_orderpriority AS gate, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 WHEN o_orderpriority LIKE '3%' THEN 2 ELSE 9 END AS stage, count(*) AS n FROM orders GROUP BY ALL")
-def flt07_stages(spark: SparkSession, sf: str) -> DataFrame:
-    p = F.col("o_orderpriority")
-    stage = F.when(p.startswith("1"), 0).when(p.startswith("2"), 1).when(p.startswith("3"), 2).otherwise(9)
-    return table(spark, sf, "orders").groupBy(p.alias("gate"), stage.alias("stage")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT DISTINCT d.doc_id, n.n_name FROM documents d JOIN nation n ON contains(d.text, n.n_name) OR regexp_extract(d.text, 'NATION_([0-9]+)', 1) = CAST(n.n_nationkey AS VARCHAR)")
-def flt11_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Collections, few of them, that a text mentions by id or by number."""
-    few = F.broadcast(table(spark, sf, "nation").select("n_name", "n_nationkey"))  # 25 rows by the table's nature
-    hit = F.contains("text", F.col("n_name")) | (F.regexp_extract("text", "NATION_([0-9]+)", 1) == F.col("n_nationkey").cast("string"))
-    return _docs(spark, sf).join(few, hit).select("doc_id", "n_name").distinct()
-
-
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS h FROM documents) SELECT doc_id, length(h) < 80 AND NOT ends_with(h, '.') AND len(string_split(h, ' ')) <= 8 AS heading FROM l""")
-def flt13_headings(spark: SparkSession, sf: str) -> DataFrame:
-    h = F.split("text", "\n", -1)[0]
-    return _docs(spark, sf).select("doc_id", ((F.length(h) < 80) & ~h.endswith(".") & (F.size(F.split(h, " ", -1)) <= 8)).alias("heading"))
-
-
-@query("""WITH s AS (SELECT user_id, avg(CAST(event_type = 'error' AS INTEGER)) AS a, avg(CAST(event_type = 'purchase' AS INTEGER)) AS v, avg(least(1, value / 100)) AS r, count(*) AS n FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN n < 5 THEN 'cooldown' WHEN a > 0.3 THEN 'mismatch' WHEN a > 0.15 AND v > 0.15 AND r > 0.2 THEN 'signals' ELSE 'quiet' END AS trigger FROM s""")
-def flt15_trigger(spark: SparkSession, sf: str) -> DataFrame:
-    rate = lambda t: F.avg((F.col("event_type") == t).cast("int"))
-    s = table(spark, sf, "events").groupBy("user_id").agg(rate("error").alias("a"), rate("purchase").alias("v"), F.avg(F.least(F.lit(1.0), F.col("value") / 100)).alias("r"), F.count("*").alias("n"))
-    trigger = F.when(F.col("n") < 5, "cooldown").when(F.col("a") > 0.3, "mismatch").when((F.col("a") > 0.15) & (F.col("v") > 0.15) & (F.col("r") > 0.2), "signals").otherwise("quiet")
-    return s.select("user_id", trigger.alias("trigger"))
-
-
-@query("SELECT p_partkey, CASE WHEN length(p_name) < 9 THEN 'short' WHEN p_name LIKE '%ring%' THEN 'anchor_like' WHEN len(string_split(p_name, ' ')) > 2 THEN 'slab_like' ELSE '' END AS flag FROM part")
-def flt20_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("p_name")
-    return table(spark, sf, "part").select("p_partkey", F.when(F.length(n) < 9, "short").when(n.contains("ring"), "anchor_like").when(F.size(F.split(n, " ")) > 2, "slab_like").otherwise("").alias("flag"))
-
-
-@query("SELECT user_id FROM events GROUP BY user_id HAVING NOT bool_and(event_type IN ('view', 'click')) OR sum(value) > 100")
-def flt22_visible(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes that more than the base set activated, or that were hit."""
-    g = table(spark, sf, "events").groupBy("user_id").agg(F.bool_and(F.col("event_type").isin("view", "click")).alias("base"), F.sum("value").alias("v"))
-    return g.where("NOT base OR v > 100").select("user_id")
-
-
-@query("WITH n AS (SELECT source, count(*) AS old, count(*) FILTER (doc_id % 9 <> 0) AS new FROM documents GROUP BY source) SELECT source, abs(new - old) >= 5 OR abs(new - old) >= 0.1 * old AS changed FROM n")
-def flt28_material(spark: SparkSession, sf: str) -> DataFrame:
-    n = _docs(spark, sf).groupBy("source").agg(F.count("*").alias("old"), F.count_if(F.col("doc_id") % 9 != 0).alias("new"))
-    gap = F.abs(F.col("new") - F.col("old"))
-    return n.select("source", ((gap >= 5) | (gap >= 0.1 * F.col("old"))).alias("changed"))
-
-
-@query("SELECT event_id, CASE WHEN value / 100 < 0.5 THEN 'low' WHEN value / 100 < 0.7 THEN 'ambiguous' ELSE 'normal' END AS flag FROM events")
-def flt29_header(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col("value") / 100
-    return table(spark, sf, "events").select("event_id", F.when(c < 0.5, "low").when(c < 0.7, "ambiguous").otherwise("normal").alias("flag"))
-
-
-@query("WITH b AS (SELECT l_orderkey AS id, list_distinct(list(l_suppkey)) AS d FROM lineitem GROUP BY 1), k AS (SELECT id, len(list_filter(d, lambda x: x % 3 = 0)) AS known FROM b) SELECT id, known FROM k WHERE known >= 2")
-def flt30_bundle_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Bundles that depend on two known slabs at least."""
-    own = table(spark, sf, "lineitem").where("l_suppkey % 3 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.countDistinct("l_suppkey").alias("known"))
-    return own.where("known >= 2")
-
-
-@query("SELECT o_orderkey, greatest(0, least(1, o_totalprice / 400000)) AS confidence FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> ''")
-def flt31_directives(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> ''")
-    return own.select("o_orderkey", T.clamp01(F.col("o_totalprice") / 400000).alias("confidence"))
-
-
-@query("WITH m AS (SELECT l_suppkey AS grp, l_partkey AS id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)) SELECT grp, count(DISTINCT id) AS members FROM m GROUP BY grp")
-def flt32_members(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf, "lineitem").join(known, "l_partkey", "left_semi").groupBy(F.col("l_suppkey").alias("grp")).agg(F.countDistinct("l_partkey").alias("members"))
-
-
-@query("""WITH e AS (SELECT lower(p_name) AS key, 'a' || min(p_partkey) AS id, 0 AS tier FROM part WHERE p_size < 10 GROUP BY 1 UNION ALL SELECT lower(p_name), 'b' || min(p_partkey), 1 FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier) AS k FROM e) SELECT key, id, tier FROM r WHERE k = 1""")
-def joi03_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Label index over tiers, new drafts before the corpus."""
-    p = table(spark, sf, "part")
-    tier = lambda df, n, c: df.groupBy(F.lower("p_name").alias("key")).agg(F.concat(F.lit(c), F.min("p_partkey").cast("string")).alias("id")).withColumn("tier", F.lit(n))
-    both = tier(p.where("p_size < 10"), 0, "a").unionByName(tier(p, 1, "b"))
-    return both.groupBy("key").agg(F.min(F.struct("tier", "id")).alias("m")).select("key", "m.id", "m.tier")
-
-
-@query("""WITH r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), d AS (SELECT conv_id, turn AS raised, split_part(text, ' ', 1) AS w FROM conversations WHERE role = 'assistant') SELECT d.conv_id, d.raised, count(*) AS refs, min(r.turn) AS first_ref FROM d JOIN r ON r.conv_id = d.conv_id AND r.turn > d.raised AND contains(lower(r.text), lower(d.w)) GROUP BY ALL""")
-def joi13_references(spark: SparkSession, sf: str) -> DataFrame:
-    """Later turns of a conversation that mention what an earlier one raised."""
-    c = table(spark, sf, "conversations")
-    r = c.where("role = 'user'").select("conv_id", "turn", F.lower("text").alias("t"))
-    d = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("raised"), F.lower(F.split("text", " ")[0]).alias("w"))
-    hit = d.join(r, "conv_id").where((F.col("turn") > F.col("raised")) & F.contains("t", F.col("w")))
-    return hit.groupBy("conv_id", "raised").agg(F.count("*").alias("refs"), F.min("turn").alias("first_ref"))
-
-
-@query(f"WITH {GRAPH} SELECT id, min(collection) AS owner FROM nodes WHERE type <> 'bundle' GROUP BY id")
-def joi22_owner(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes(spark, sf).where("type <> 'bundle'").groupBy("id").agg(F.min("collection").alias("owner"))
-
-
-@query("SELECT doc_id, strpos(text, '. ') - 1 AS at FROM documents")
-def joi24_marker(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", (F.instr("text", ". ") - 1).cast("long").alias("at"))
-
-
-@query("SELECT c_custkey, coalesce(max(o_orderstatus) FILTER (o_totalprice > 450000), 'default') AS target FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
-def joi32_target(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_totalprice > 450000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderstatus").alias("t"))
-    return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("t", F.lit("default")).alias("target"))
-
-
-@query("SELECT o_orderpriority, count(*) AS n, round(100 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS kept_pct FROM orders GROUP BY 1")
-def agg19_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(100 * F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 1).alias("kept_pct"))
-
-
-@query("""WITH f AS (SELECT p_brand, split_part(p_name, ' ', 1) AS w, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_brand, CASE WHEN count(DISTINCT w) = 1 THEN min(w) ELSE min(p_name) FILTER (k = 1) END AS label FROM f WHERE k <= 2 GROUP BY p_brand""")
-def agg23_fallback_label(spark: SparkSession, sf: str) -> DataFrame:
-    """The leading word that a cluster's titles share, else its first title."""
-    k = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
-    f = table(spark, sf, "part").select("p_brand", "p_name", F.split("p_name", " ")[0].alias("w"), k.alias("k")).where("k <= 2")
-    return f.groupBy("p_brand").agg(F.when(F.countDistinct("w") == 1, F.min("w")).otherwise(F.min(F.when(F.col("k") == 1, F.col("p_name")))).alias("label"))
-
-
 @query("""WITH h AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, source, doc_id % 4 AS level FROM documents) SELECT source, doc_id, max(CASE WHEN level = 0 THEN doc_id END) OVER (PARTITION BY source ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM h""")
 def win16_heading_stack(spark: SparkSession, sf: str) -> DataFrame:
     """The last shallower heading before each row."""
@@ -260,14 +49,6 @@ def top15_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("id").agg(F.max("weight").alias("weight")).orderBy(F.desc("weight"), "id").limit(12)
 
 
-@query(f"""WITH {GRAPH}, b AS (SELECT id, CAST(1 AS DOUBLE) AS w FROM nodes WHERE type = 'slab' AND ord < 5), l AS (SELECT e.dst AS id, max(e.weight) AS w FROM edges e JOIN b ON e.src = b.id WHERE e.type = 'LINKS' GROUP BY 1) SELECT id, max(w) AS weight FROM (SELECT * FROM b UNION ALL SELECT * FROM l) GROUP BY id""")
-def grf23_seeding(spark: SparkSession, sf: str) -> DataFrame:
-    """Base slabs at full weight and what they link to, merged by the greatest."""
-    b = nodes(spark, sf).where("type = 'slab' AND ord < 5").select("id", F.lit(1.0).alias("w"))
-    linked = edges(spark, sf).where("type = 'LINKS'").join(b.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), F.col("weight").alias("w"))
-    return b.unionByName(linked).groupBy("id").agg(F.max("w").alias("weight"))
-
-
 @query(f"""WITH {GRAPH}, m AS (SELECT a.collection AS home, b.collection AS target, count(*) AS n FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.collection <> b.collection GROUP BY ALL) SELECT home, target, least(1, n / CAST(5 AS DOUBLE)) AS weight FROM m""")
 def grf28_pillar_edges(spark: SparkSession, sf: str) -> DataFrame:
     n = nodes(spark, sf)
@@ -275,13 +56,6 @@ def grf28_pillar_edges(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("home", "target").agg(F.least(F.lit(1.0), F.count("*") / 5).alias("weight"))
 
 
-@query("SELECT label, count(*) FILTER (embedding[1] > 0.1) AS ranked, CASE WHEN count(*) FILTER (embedding[1] > 0.1) >= 3 THEN 'ranked' ELSE 'flat' END AS mode FROM embeddings GROUP BY label")
-def grf31_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat retrieval where fewer than three rows rank."""
-    n = F.count_if(F.col("embedding")[0] > F.lit(0.1).cast("float"))
-    return table(spark, sf, "embeddings").groupBy("label").agg(n.alias("ranked"), F.when(n >= 3, "ranked").otherwise("flat").alias("mode"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '^#{1,6}[ \\t]+|[ \\t]*#*[ \\t]*$', '', 'g')) AS heading FROM documents")
 def sca11_markup(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", T.heading_text(F.split("text", "\n", -1)[0]).alias("heading"))
@@ -292,12 +66,6 @@ def sca17_bundle_label(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.array_join(F.slice(F.split("text", r"\. ", -1), 1, 2), "; ").alias("label"))
 
 
-@query(f"WITH {GRAPH} SELECT e.src, e.dst, substr(b.label, 1, 180) AS partner FROM edges e JOIN nodes b ON b.id = e.dst WHERE e.type = 'CONFLICTS'")
-def sca22_partner(spark: SparkSession, sf: str) -> DataFrame:
-    n = nodes(spark, sf).select(F.col("id").alias("dst"), "label")
-    return edges(spark, sf).where("type = 'CONFLICTS'").join(n, "dst", "left").select("src", "dst", F.substring("label", 1, 180).alias("partner"))
-
-
 @query("WITH c AS (SELECT conv_id, turn, role, CASE WHEN length(text) > 300 THEN 'rigor_work' ELSE 'object_of_work' END AS f FROM conversations) SELECT c.conv_id, c.turn, coalesce(f, 'unknown') AS function, coalesce(l.quality, -1) AS drift FROM c LEFT JOIN labels l ON l.doc_id = c.conv_id * 10 + c.turn")
 def str05_joined_record(spark: SparkSession, sf: str) -> DataFrame:
     """Classification and drift of a turn in one record, with a default where one is missing."""
@@ -305,25 +73,6 @@ def str05_joined_record(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(table(spark, sf, "labels"), "doc_id", "left").select("conv_id", "turn", "function", F.coalesce("quality", F.lit(-1)).alias("drift"))
 
 
-@query("SELECT p_partkey, p_name AS title, upper(p_type) AS body FROM part")
-def val05_identity_lock(spark: SparkSession, sf: str) -> DataFrame:
-    """A rewrite keeps the title of the original and takes the new text."""
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"))
-    new = table(spark, sf, "part").select("p_partkey", F.upper("p_name").alias("new_title"), F.upper("p_type").alias("body"))
-    return p.join(new, "p_partkey").select("p_partkey", F.coalesce("title", "new_title").alias("title"), "body")
-
-
-@query("SELECT user_id, round(greatest(0, least(1, 0.5 + sum(CASE event_type WHEN 'click' THEN 0.05 WHEN 'error' THEN -0.05 ELSE 0 END))), 6) AS salience FROM events GROUP BY user_id")
-def lif08_adjusted(spark: SparkSession, sf: str) -> DataFrame:
-    step = F.when(F.col("event_type") == "click", 0.05).when(F.col("event_type") == "error", -0.05).otherwise(0.0)
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round(T.clamp01(0.5 + F.sum(step)), 6).alias("salience"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'RETIRED' WHEN o_orderstatus = 'F' THEN 'ACTIVE' ELSE 'DRAFT' END AS lifecycle FROM orders")
-def lif09_edit(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") == 7, "RETIRED").when(F.col("o_orderstatus") == "F", "ACTIVE").otherwise("DRAFT").alias("lifecycle"))
-
-
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' UNION SELECT conv_id FROM conversations WHERE role = 'system'")
 def lif05_holders(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "events").where("event_type = 'signup'").select("user_id")

@@ -105,28 +105,6 @@ def snk11_activation(spark: SparkSession, sf: str) -> DataFrame:
     return stores.active_collections(spark, root)
 
 
-@query("SELECT n_name AS chapter FROM nation UNION ALL SELECT r_name FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3)")
-def prj13_chapters(spark: SparkSession, sf: str) -> DataFrame:
-    """Chapter-level sections, and top-level ones without chapters below them."""
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    bare = r.join(n.where("n_nationkey < 3").select(F.col("n_regionkey").alias("r_regionkey")), "r_regionkey", "left_anti")
-    return n.select(F.col("n_name").alias("chapter")).unionByName(bare.select(F.col("r_name").alias("chapter")))
-
-
-@query("SELECT event_id, coalesce(CASE WHEN event_type = 'view' THEN 'LINKS' END, 'INVOKES') AS type, user_id AS src, user_id + 1 AS dst FROM events WHERE event_type <> 'error'")
-def prj25_edge_rows(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_type <> 'error'")
-    return e.select("event_id", F.coalesce(F.when(F.col("event_type") == "view", "LINKS"), F.lit("INVOKES")).alias("type"), F.col("user_id").alias("src"), (F.col("user_id") + 1).alias("dst"))
-
-
-@query("WITH u AS (SELECT doc_id, 0 AS tier FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 1 FROM labels WHERE quality = 1) SELECT u.doc_id, min(tier) AS tier, any_value(source) AS source FROM u JOIN documents USING (doc_id) GROUP BY u.doc_id")
-def prj30_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Automatic hits before candidates, each id once, with its attributes."""
-    lab = table(spark, sf, "labels")
-    u = lab.where("toxic = 1").select("doc_id", F.lit(0).alias("tier")).unionByName(lab.where("quality = 1").select("doc_id", F.lit(1).alias("tier")))
-    return u.groupBy("doc_id").agg(F.min("tier").alias("tier")).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
 def flt25_pending(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select("o_orderkey")
@@ -148,12 +126,6 @@ def joi28_label_ids(spark: SparkSession, sf: str) -> DataFrame:
     return index.join(asked, "key", "left_semi").select("id", "key")
 
 
-@query(f"WITH {GRAPH} SELECT id, CASE type WHEN 'anchor' THEN label WHEN 'slab' THEN substr(label, 1, 30) ELSE substr(label, 1, 3) END AS short FROM nodes")
-def joi31_short_labels(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("type")
-    return nodes(spark, sf).select("id", F.when(t == "anchor", F.col("label")).when(t == "slab", F.substring("label", 1, 30)).otherwise(F.substring("label", 1, 3)).alias("short"))
-
-
 @query("WITH l AS (SELECT c_nationkey AS pillar, c_custkey AS src, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS dst FROM customer WHERE c_acctbal > 0) SELECT pillar, src, dst, 'ACCEPTED' AS status FROM l WHERE dst IS NOT NULL")
 def win11_accepted_spine(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("pillar"), F.col("c_custkey").alias("id"))
@@ -177,12 +149,6 @@ def vec03_text_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", (F.abs(V.cosine(F.col("u"), F.col("w"))) <= 1.000001).alias("bounded"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN p_name || ' ' || p_brand WHEN p_size < 30 THEN p_name || ' ' || substr(p_type, 1, 200) ELSE p_type END AS t FROM part")
-def sca18_matching_text(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("p_size")
-    return table(spark, sf, "part").select("p_partkey", F.when(s < 10, F.concat_ws(" ", "p_name", "p_brand")).when(s < 30, F.concat_ws(" ", "p_name", F.substring("p_type", 1, 200))).otherwise(F.col("p_type")).alias("t"))
-
-
 @query("SELECT event_id, greatest(0, least(1, value / 100)) AS clamped, CAST(round_even(value, 0) AS DOUBLE) AS even FROM events")
 def sca19_rounding(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", T.clamp01(F.col("value") / 100).alias("clamped"), F.bround("value", 0).alias("even"))

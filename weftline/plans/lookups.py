@@ -23,16 +23,6 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- filters --------------------------------------------------------------------------------------
-@query(f"WITH {GRAPH} SELECT id, label FROM nodes WHERE type = 'slab' AND collection IN ('geo', 'supply') AND ord % 3 <> 0")
-def flt01_base_set(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes(spark, sf).where("type = 'slab' AND collection IN ('geo', 'supply') AND ord % 3 <> 0").select("id", "label")
-
-
-@query("SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_size > 25")
-def flt02_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where("p_type = 'ECONOMY' AND p_size > 25").select("p_partkey")
-
-
 @query(f"WITH {GRAPH} SELECT id, type FROM nodes WHERE contains(lower(id || ' ' || label), 'r#00000001') UNION ALL SELECT 'd' || doc_id, 'document' FROM documents WHERE contains(lower(source || ' ' || substr(text, 1, 200)), 'onth')")
 def flt03_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     n = nodes(spark, sf).where(F.contains(F.lower(F.concat_ws(" ", "id", "label")), F.lit("r#00000001"))).select("id", "type")
@@ -93,22 +83,6 @@ def flt09_synthesis_intent(spark: SparkSession, sf: str) -> DataFrame:
     return _posed(spark, sf).select("conv_id", "turn", R.is_synthesis(F.col("text"), F.col("turn") % 3).alias("synthesis"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license|version') AND NOT regexp_matches(text, '(?i)why|because') THEN 8 ELSE 25 END AS k FROM documents")
-def flt10_direct_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.when(F.col("text").rlike("(?i)license|version") & ~F.col("text").rlike("(?i)why|because"), 8).otherwise(25).alias("k"))
-
-
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?im)^(user|human|assistant|ai)\\s*:') THEN 'chat' WHEN regexp_matches(text, '(?im)^\\s*(abstract|methods?|methodology|results?|discussion|references)\\s*$') THEN 'paper'
- WHEN len(regexp_extract_all(text, '(?m)^#{1,6}\\s+|^\\d+(?:\\.\\d+)*[.)]?\\s+[A-Z]')) >= 2 THEN 'document' ELSE 'narrative' END AS kind FROM documents""")
-def flt12_source_kind(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    kind = (
-        F.when(t.rlike(r"(?im)^(user|human|assistant|ai)\s*:"), "chat").when(t.rlike(r"(?im)^\s*(abstract|methods?|methodology|results?|discussion|references)\s*$"), "paper")
-        .when(F.regexp_count(t, F.lit(r"(?m)^#{1,6}\s+|^\d+(?:\.\d+)*[.)]?\s+[A-Z]")) >= 2, "document").otherwise("narrative")
-    )
-    return _docs(spark, sf).select("doc_id", kind.alias("kind"))
-
-
 @query(f"""WITH {_POSED}, s AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE (conv_id % 10) / CAST(10 AS DOUBLE) END AS sim, trim(text) AS t FROM posed)
 SELECT conv_id, turn, CASE WHEN t = '' THEN 'ambiguous' WHEN regexp_matches(t, '(?i){_re2(R.REJECT)}') THEN 'explicit_reject' WHEN regexp_matches(t, '(?i){_re2(R.ACCEPT)}') THEN 'explicit_accept'
  WHEN sim IS NOT NULL AND sim < 0.3 AND length(t) < 80 THEN 'implicit_accept' WHEN sim > 0.5 THEN 'unresolved' WHEN sim IS NOT NULL THEN 'ambiguous' WHEN length(t) < 80 THEN 'implicit_accept' ELSE 'unresolved' END AS resolution FROM s""")
@@ -146,22 +120,6 @@ def flt16_validator(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "v.step", "v.hard", "v.soft", "v.status")
 
 
-@query("SELECT doc_id FROM documents WHERE starts_with(source, 'src1') OR starts_with(lang, 'e')")
-def flt21_prefixes(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).where(F.col("source").startswith("src1") | F.col("lang").startswith("e")).select("doc_id")
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 400000 AND NOT list_bool_and(list_transform([o_orderpriority], lambda x: x = '5-LOW'))")
-def flt23_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Confidence at the minimum and evidence that is not all of the weakest kind."""
-    return table(spark, sf, "orders").where((F.col("o_totalprice") >= 400000) & ~F.forall(F.array("o_orderpriority"), lambda x: x == "5-LOW")).select("o_orderkey")
-
-
-@query("SELECT conv_id, bool_or(role = 'system') AS scoped, count(*) BETWEEN 3 AND 16 AS title_now FROM conversations GROUP BY conv_id")
-def flt26_auto_title(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("scoped"), F.count("*").between(3, 16).alias("title_now"))
-
-
 @query("SELECT conv_id, turn FROM conversations WHERE turn > 0 AND turn % 2 = 0")
 def flt27_cadence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("turn > 0 AND turn % 2 = 0").select("conv_id", "turn")
@@ -243,78 +201,18 @@ def joi21_dependents(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("p_partkey", F.col("p_brand").alias("owner"), F.coalesce("touching", F.lit(0)).alias("touching"), F.col("touching").isNull().alias("safe_to_delete"))
 
 
-@query(f"WITH {GRAPH} SELECT e.src, e.dst, e.type, CASE WHEN a.collection = b.collection THEN a.collection WHEN a.collection = 'geo' THEN b.collection WHEN b.collection = 'geo' THEN a.collection ELSE 'default' END AS target FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst")
-def joi23_edge_collection(spark: SparkSession, sf: str) -> DataFrame:
-    n = nodes(spark, sf)
-    e = edges(spark, sf).select("src", "dst", "type").join(n.select(F.col("id").alias("src"), F.col("collection").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("collection").alias("b")), "dst")
-    target = F.when(F.col("a") == F.col("b"), F.col("a")).when(F.col("a") == "geo", F.col("b")).when(F.col("b") == "geo", F.col("a")).otherwise("default")
-    return e.select("src", "dst", "type", target.alias("target"))
-
-
-@query("SELECT o.o_orderkey, min(l_linenumber) AS resolution FROM orders o LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY o.o_orderkey")
-def joi26_resolutions(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("resolution"))
-    return table(spark, sf, "orders").select("o_orderkey").join(r, "o_orderkey", "left")
-
-
 # -- projections and scalars ----------------------------------------------------------------------
-@query("SELECT doc_id, source, length(text) AS text_length FROM documents")
-def prj01_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", "source", F.length("text").cast("long").alias("text_length"))
-
-
-@query(f"WITH {GRAPH} SELECT id, type, collection, label FROM nodes WHERE id = 'c7'")
-def prj02_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes(spark, sf).where("id = 'c7'").select("id", "type", "collection", "label")
-
-
-@query(f"WITH {GRAPH} SELECT id, type, collection, label FROM nodes")
-def prj03_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes(spark, sf).select("id", "type", "collection", "label")
-
-
 @query("SELECT doc_id, coalesce(nullif(trim(substr(text, 1, 60)), ''), CAST(doc_id AS VARCHAR)) AS title FROM documents")
 def prj04_titles(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", T.first_of(F.trim(F.substring("text", 1, 60)), F.col("doc_id").cast("string")).alias("title"))
 
 
-@query("SELECT l_orderkey AS src, 'p' || l_partkey AS dst, 'INVOKES' AS type FROM lineitem UNION ALL SELECT l_orderkey, 's' || l_suppkey, 'LINKS' FROM lineitem")
-def prj06_reference_edges(spark: SparkSession, sf: str) -> DataFrame:
-    ref = lambda p, c, t: F.struct(F.concat(F.lit(p), F.col(c).cast("string")).alias("dst"), F.lit(t).alias("type"))
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.inline(F.array(ref("p", "l_partkey", "INVOKES"), ref("s", "l_suppkey", "LINKS"))))
-
-
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) FILTER (regexp_matches(line, '^#{1,6}[ \\t]+')) AS headings, count(*) FILTER (trim(line) = '') AS blanks FROM l GROUP BY doc_id""")
 def prj11_headings(spark: SparkSession, sf: str) -> DataFrame:
     line = _docs(spark, sf).select("doc_id", F.split("text", "\n", -1).alias("l"))
     return line.select("doc_id", F.size(F.filter("l", lambda x: x.rlike(r"^#{1,6}[ \t]+"))).cast("long").alias("headings"), F.size(F.filter("l", lambda x: F.trim(x) == "")).cast("long").alias("blanks"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) <= 25000 THEN text ELSE array_to_string(list_transform(list_filter(string_split_regex(text, '\\n+'), lambda p: trim(p) <> ''), lambda p: string_split(p, '. ')[1]), chr(10)) END AS digest FROM documents""")
-def prj15_digest(spark: SparkSession, sf: str) -> DataFrame:
-    ledes = F.transform(F.filter(F.split("text", r"\n+", -1), lambda p: F.trim(p) != ""), lambda p: F.split(p, r"\. ", -1)[0])
-    return _docs(spark, sf).select("doc_id", F.when(F.length("text") <= 25000, F.col("text")).otherwise(F.array_join(ledes, "\n")).alias("digest"))
-
-
-@query("""WITH p AS (SELECT p_partkey AS ord, [p_brand, p_type, p_name] AS path FROM part), e AS (SELECT ord, array_to_string(list_slice(path, 1, d), ' / ') AS prefix, d AS depth FROM p, (VALUES (1), (2), (3)) v(d)) SELECT prefix, depth, min(ord) AS ord, count(*) AS members FROM e GROUP BY ALL""")
-def prj17_prefix_tree(spark: SparkSession, sf: str) -> DataFrame:
-    path = F.array("p_brand", "p_type", "p_name")
-    levels = F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda d: F.struct(F.array_join(F.slice(path, F.lit(1), d), " / ").alias("prefix"), d.alias("depth")))).alias("l")
-    return table(spark, sf, "part").select("p_partkey", levels).groupBy("l.prefix", "l.depth").agg(F.min("p_partkey").alias("ord"), F.count("*").alias("members"))
-
-
-@query("""SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: length(s) > 15), 1, 5), '|') AS invariants FROM documents WHERE length(text) >= 50""")
-def prj22_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    parts = F.slice(F.filter(F.transform(F.split("text", r"\.", -1), lambda s: F.trim(s)), lambda s: F.length(s) > 15), 1, 5)
-    return _docs(spark, sf).where(F.length("text") >= 50).select("doc_id", F.array_join(parts, "|").alias("invariants"))
-
-
-@query("SELECT c_mktsegment AS collection, string_agg(c_name, '; ' ORDER BY c_custkey) AS summary FROM customer GROUP BY 1")
-def prj26_slabify(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])
-    return table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("collection")).agg(F.array_join(names, "; ").alias("summary"))
-
-
 @query(f"SELECT doc_id, array_to_string({T.search_tokens_sql('text')}, ' ') AS tokens FROM documents")
 def sca01_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.array_join(T.search_tokens(F.col("text")), " ").alias("tokens"))
