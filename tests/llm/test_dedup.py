@@ -334,7 +334,7 @@ def test_short_lines_and_signature_recall():
     assert hits and sum(hits) / len(hits) > 0.97
 
 
-def test_lines_that_stand_in_many_places(spark):
+def test_lines_that_stand_in_many_places(spark, monkeypatch):
     line, near = "one line that stands in each and every document of them all", "one line that stands in each and every document of them all!"
     rows = [(i, f"{line}\nown line of the document with the number {i * 7919}\n{line}") for i in range(50)] + [(50, near), (51, None)]
     got = {r.doc_id: r.removed for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}

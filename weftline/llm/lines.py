@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,8 +39,10 @@ FEW = 80
 BLOCK = 1024
 #: Places of a line in a batch that stand in the line's own row; the others go in rows dealt apart from it.
 INLINE = 16
+#: Bytes of text whose lines are brought together before the exchange.
+SPLIT_CHARS = 1 << 23
 #: Band values that are sorted at once, 16 bytes each with their line and its sketch.
-RUN = 1 << 22
+RUN = 1 << 21
 #: Most bits in which the sketches of two lines, 32 rows at a bit each, differ for them to be compared: more have a pair at 0.8 with probability 0.0002.
 SKETCH_BITS = 10
 #: Bits of the map that counts distinct shingles from below.
@@ -234,55 +237,60 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _SPLIT: the distinct lines of a batch of (doc_id, row_key, text), each with its number of places, the first place, and the first INLINE ones if there are several.
 
     Places beyond INLINE follow in rows without a text and with n = 0. Places are in order: null ids first, then by id, key and number.
+    A batch with more than SPLIT_CHARS of text is taken in pieces, so that its lines are never all at hand.
     """
     for batch in batches:
-        found: dict[str, int] = {}
-        line_at, doc_at, no_at = [], [], []
-        for doc, text in enumerate(batch.column(2).to_pylist()):
-            for no, line in enumerate(text.lower().split("\n") if text else ()):
-                if line := " ".join(line.split()):
-                    line_at.append(found.setdefault(line, len(found)))
-                    doc_at.append(doc)
-                    no_at.append(no)
-        if not found:
-            continue
-        ids = batch.column(0)
-        null, doc_id, key = (np.asarray(x) for x in (ids.is_null(), ids.fill_null(0), batch.column(1)))
-        place = np.lexsort((key, doc_id, ~null))
-        rank = np.empty(len(place), np.int64)
-        rank[place] = np.arange(len(place))
-        line, doc, no = (np.array(x, np.int64) for x in (line_at, doc_at, no_at))
-        order = np.argsort((line * len(place) + rank[doc]), kind="stable")  # numbers of a document already ascend
-        line, doc, no = line[order], doc[order], no[order]
-        counts = np.bincount(line, minlength=len(found))
-        nth = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
-        own = nth < INLINE
-        row = (line * (len(line) + 1) + nth // INLINE)[~own]  # a row for INLINE places more
-        more = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-        far = np.flatnonzero(~own)
-        own &= np.repeat(counts > 1, counts)  # a single place is the first one
-        at = np.r_[np.flatnonzero(own), np.flatnonzero(nth >= INLINE)]
-        sizes = np.r_[np.where(counts > 1, np.minimum(counts, INLINE), 0), np.diff(np.r_[more, len(row)])]
-        at_first = np.cumsum(counts) - counts
-
-        def struct(at: np.ndarray) -> pa.StructArray:
-            return pa.StructArray.from_arrays([pa.array(doc_id[doc[at]], mask=null[doc[at]]), pa.array(key[doc[at]]), pa.array(no[at].astype(np.int32))], ["doc_id", "row_key", "line_no"])
-
-        lines = list(found)
-        digests = pa.array([_digest(x) for x in lines], pa.binary())
-        extra = line[far][more]
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([digests, digests.take(pa.array(extra))]),
-                pa.concat_arrays([pa.array(lines, pa.string()), pa.nulls(len(extra), pa.string())]),
-                pa.array(np.r_[counts, np.zeros(len(extra), np.int64)]),
-                struct(np.r_[at_first, far[more]]),
-                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), struct(at)),
-            ],
-            ["line", "text", "n", "first", "places"],
-        )
-        for start in range(0, out.num_rows, 8192):
-            yield out.slice(start, 8192)
+        lens = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
+        piece = np.cumsum(lens, dtype=np.int64) // SPLIT_CHARS
+        cuts = np.r_[0, np.flatnonzero(piece[1:] != piece[:-1]) + 1, len(lens)].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield from _lines_of(batch.slice(a, b - a))
+        pa.default_memory_pool().release_unused()
+
+
+def _lines_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    found: dict[str, int] = {}
+    line_at, doc_at, no_at = [], [], []
+    for doc, text in enumerate(batch.column(2)):
+        text = text.as_py()
+        for no, line in enumerate(text.lower().split("\n") if text else ()):
+            if line := " ".join(line.split()):
+                line_at.append(found.setdefault(line, len(found)))
+                doc_at.append(doc)
+                no_at.append(no)
+    if not found:
+        return
+    ids = batch.column(0)
+    null, doc_id, key = (np.asarray(x) for x in (ids.is_null(), ids.fill_null(0), batch.column(1)))
+    place = np.lexsort((key, doc_id, ~null))
+    rank = np.empty(len(place), np.int64)
+    rank[place] = np.arange(len(place))
+    line, doc, no = (np.array(x, np.int64) for x in (line_at, doc_at, no_at))
+    order = np.argsort((line * len(place) + rank[doc]), kind="stable")  # numbers of a document already ascend
+    line, doc, no = line[order], doc[order], no[order]
+    counts = np.bincount(line, minlength=len(found))
+    at_first = np.cumsum(counts) - counts
+    nth = np.arange(len(line)) - np.repeat(at_first, counts)
+    far = np.flatnonzero(nth >= INLINE)
+    row = line[far] * (len(line) + 1) + nth[far] // INLINE  # a row for INLINE places more
+    more = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    several = np.repeat(counts > 1, counts)  # a single place is the first one
+    extra = line[far][more]
+
+    def struct(at: np.ndarray) -> pa.StructArray:
+        return pa.StructArray.from_arrays([pa.array(doc_id[doc[at]], mask=null[doc[at]]), pa.array(key[doc[at]]), pa.array(no[at].astype(np.int32))], ["doc_id", "row_key", "line_no"])
+
+    def rows(digests: pa.Array, texts: pa.Array, n: np.ndarray, first: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), struct(at))
+        return pa.RecordBatch.from_arrays([digests, texts, pa.array(n), struct(first), lists], ["line", "text", "n", "first", "places"])
+
+    digests = pa.array([_digest(x) for x in found], pa.binary())
+    out = rows(digests, pa.array(list(found), pa.string()), counts, at_first, np.flatnonzero(several & (nth < INLINE)), np.where(counts > 1, np.minimum(counts, INLINE), 0))
+    found.clear()
+    for start in range(0, out.num_rows, 8192):
+        yield out.slice(start, 8192)
+    if len(extra):
+        yield rows(digests.take(pa.array(extra)), pa.nulls(len(extra), pa.string()), np.zeros(len(extra), np.int64), far[more], far, np.diff(np.r_[more, len(far)]))
 
 
 def line_table(own: DataFrame, scratch: Scratch) -> DataFrame:
