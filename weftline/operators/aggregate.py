@@ -38,11 +38,16 @@ def shapes(nodes: DataFrame, edges: DataFrame, scope: str = "collection") -> Dat
 
 
 def gini(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Gini coefficient of a value within each group; 0 if the values sum to 0."""
-    rank = F.row_number().over(W.partitionBy(*group).orderBy(value))
-    ranked = df.withColumn("__i", rank)
-    n, total = F.count("*"), F.sum(value)
-    g = 2 * F.sum(F.col("__i") * F.col(value)) / (n * total) - (n + 1) / n
+    """Gini coefficient of a value within each group; 0 if the values sum to 0.
+
+    Rows of one value are counted first, so that a window ranks the different values of a group and not its rows.
+    """
+    v, c = F.col("__v"), F.col("__c")
+    counted = df.groupBy(*group, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum(c).over(W.partitionBy(*group).orderBy(v).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = counted.withColumn("__ranks", v * (c * before + c * (c + 1) / 2))  # the ranks of equal rows, summed
+    n, total = F.sum(c), F.sum(v * c)
+    g = 2 * F.sum("__ranks") / (n * total) - (n + 1) / n
     return ranked.groupBy(*group).agg(F.when(total == 0, 0.0).otherwise(g).alias("gini"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators import aggregate as A
 from weftline.operators import dedup as D
+from weftline.operators import tallies as Y
 from weftline.plans.corpus import EDGES_SQL, NODES_SQL, edges, nodes
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
@@ -37,13 +38,14 @@ INVENTED = {"er": ["there", "ering", "here", "erth"], "on": ["onth", "tion", "at
 
 @query(GRAPH + " SELECT type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT type, count(*) FROM edges GROUP BY type")
 def agg01_status(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes(spark, sf).select("type").unionByName(edges(spark, sf).select("type")).groupBy("type").agg(F.count("*").alias("n"))
+    n, e = nodes(spark, sf), edges(spark, sf)
+    kinds = {k: n.where(F.col("type") == k) for k in ("anchor", "slab", "bundle")} | {k: e.where(F.col("type") == k) for k in ("PARENT_OF", "SUPPORTS", "LINKS", "SEQUENCE", "CONFLICTS", "INVOKES", "TENSIONS")}
+    return Y.status_counts(kinds)
 
 
 @query(GRAPH + " SELECT collection, count(*) FILTER (type = 'anchor') AS anchors, count(*) FILTER (type = 'slab') AS slabs, count(*) FILTER (type = 'bundle') AS bundles FROM nodes GROUP BY collection")
 def agg02_collections(spark: SparkSession, sf: str) -> DataFrame:
-    out = nodes(spark, sf).groupBy("collection").pivot("type", ["anchor", "slab", "bundle"]).count().na.fill(0)
-    return out.select("collection", F.col("anchor").alias("anchors"), F.col("slab").alias("slabs"), F.col("bundle").alias("bundles"))
+    return Y.pivoted_counts(nodes(spark, sf), "collection", {"anchors": "anchor", "slabs": "slab", "bundles": "bundle"})
 
 
 _SHAPE_SQL = f"""
@@ -67,9 +69,11 @@ def agg27_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return A.shapes(nodes(spark, sf), edges(spark, sf))
 
 
-@query("SELECT user_id, event_type, count(*) AS hits, max(event_id) AS last_turn, count(DISTINCT CAST(ts AS DATE)) AS sessions FROM events GROUP BY ALL")
+@query("SELECT user_id || '-' || event_type AS id, count(*) AS hits, max(event_id) AS last_turn, count(DISTINCT CAST(ts AS DATE)) AS sessions FROM events GROUP BY ALL")
 def agg04_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("hits"), F.max("event_id").alias("last_turn"), F.countDistinct(F.to_date("ts")).alias("sessions"))
+    e = table(spark, sf, "events")
+    hits = e.groupBy(F.to_date("ts").alias("session"), F.concat_ws("-", "user_id", "event_type").alias("id")).agg(F.count("*").alias("hits"), F.max("event_id").alias("turn"))
+    return Y.hit_totals(hits)
 
 
 @query("""
@@ -99,9 +103,9 @@ def agg06_hot(spark: SparkSession, sf: str) -> DataFrame:
     return A.utilisation(nodes(spark, sf), _hits(spark, sf))[1]
 
 
-@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS pending FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+@query("SELECT o_orderstatus AS status, o_orderpriority AS type, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS pending FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def agg07_queue(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("pending"))
+    return Y.review_queue(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("type")), ("P",))
 
 
 @query(f"""{GRAPH}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), d AS (SELECT src, count(*) AS d FROM b WHERE src <> dst GROUP BY src)
@@ -139,62 +143,55 @@ def agg11_meta_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{GRAPH}, m AS (SELECT id, collection AS cluster FROM nodes), p AS (SELECT a.cluster AS ca, b.cluster AS cb, weight FROM edges JOIN m a ON src = a.id JOIN m b ON dst = b.id)
 SELECT least(ca, cb) AS a, greatest(ca, cb) AS b, round(sum(weight), 3) AS weight FROM p WHERE ca <> cb GROUP BY 1, 2""")
 def agg12_meta_weights(spark: SparkSession, sf: str) -> DataFrame:
-    m = nodes(spark, sf)
-    s, d = m.select(F.col("id").alias("src"), F.col("collection").alias("ca")), m.select(F.col("id").alias("dst"), F.col("collection").alias("cb"))
-    pairs = edges(spark, sf).join(s, "src").join(d, "dst").where("ca <> cb")
-    return pairs.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.round(F.sum("weight"), 3).alias("weight"))
+    return Y.pair_weights(nodes(spark, sf).select("id", F.col("collection").alias("top")), edges(spark, sf))
 
 
-@query(f"{GRAPH}, t AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) SELECT n.id, count(t.id) AS structural_weight FROM nodes n LEFT JOIN t ON n.id = t.id WHERE n.type <> 'anchor' GROUP BY n.id")
+@query(f"{GRAPH}, t AS (SELECT src AS id FROM edges WHERE type <> 'INVOKES' UNION ALL SELECT dst FROM edges) SELECT n.id, count(t.id) AS structural_weight FROM nodes n LEFT JOIN t ON n.id = t.id WHERE n.type <> 'anchor' GROUP BY n.id")
 def agg13_structural(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
-    touch = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("c"))
-    return nodes(spark, sf).where("type <> 'anchor'").join(touch, "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("structural_weight"))
+    return Y.structural_weights(nodes(spark, sf).where("type <> 'anchor'"), e.where("type = 'INVOKES'").select(F.col("src").alias("id"), F.col("dst").alias("ref")), e.where("type <> 'INVOKES'"))
 
 
 @query("""WITH w AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) AS d FROM events) SELECT user_id, round(avg(d), 6) AS mismatch FROM w WHERE d IS NOT NULL GROUP BY user_id""")
 def agg14_mismatch(spark: SparkSession, sf: str) -> DataFrame:
-    gap = F.abs(F.col("value") - F.lag("value").over(W.partitionBy("user_id").orderBy("event_id")))
-    return table(spark, sf, "events").select("user_id", gap.alias("d")).where("d IS NOT NULL").groupBy("user_id").agg(F.round(F.avg("d"), 6).alias("mismatch"))
+    before = F.lag("value").over(W.partitionBy("user_id").orderBy("event_id"))
+    frame = table(spark, sf, "events").select("user_id", F.col("value").alias("now"), before.alias("smoothed")).where("smoothed IS NOT NULL")
+    return Y.mismatch(frame, "user_id").select("user_id", F.round("mismatch", 6).alias("mismatch"))
 
 
-@query("""SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS confirmed, coalesce(bool_and(o_orderstatus = 'F'), true) AS all_confirmed, coalesce(bool_or(o_orderstatus = 'P'), false) AS has_contradictions,
-count(*) FILTER (o_orderstatus = 'O') AS unresolvable FROM orders GROUP BY o_custkey""")
+@query("""SELECT c_custkey AS batch, count(o_orderkey) AS n, count(*) FILTER (o_orderstatus = 'F') AS confirmed, coalesce(bool_and(o_orderstatus = 'F'), true) AS all_confirmed, coalesce(bool_or(o_orderstatus = 'P'), false) AS has_contradictions,
+count(*) FILTER (o_orderstatus = 'O') AS unresolvable FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def agg15_verification(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("o_orderstatus")
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("n"), F.count_if(s == "F").alias("confirmed"), F.coalesce(F.bool_and(s == "F"), F.lit(True)).alias("all_confirmed"),
-        F.coalesce(F.bool_or(s == "P"), F.lit(False)).alias("has_contradictions"), F.count_if(s == "O").alias("unresolvable"),
-    )
+    outcome = F.when(F.col("o_orderstatus") == "F", "CONFIRMED").when(F.col("o_orderstatus") == "P", "CONTRADICTED").otherwise("UNRESOLVABLE")
+    results = table(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), outcome.alias("outcome"))
+    return Y.verification_summary(results, table(spark, sf, "customer").select(F.col("c_custkey").alias("batch")))
 
 
-@query("SELECT coalesce(l.quality, -1) AS quality, count(*) AS n FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+@query("SELECT coalesce(l.quality, -1) AS owner, count(*) AS n FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def agg16_awareness(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by assigned class, those without one apart."""
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").groupBy(F.coalesce("quality", F.lit(-1)).alias("quality")).agg(F.count("*").alias("n"))
+    owners = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("owner"))
+    return Y.awareness(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), owners, -1)
 
 
-@query("SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS from_user, count(*) FILTER (length(text) > 200) AS long_messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS session, count(*) FILTER (turn % 4 = 2) AS drafts, count(*) FILTER (turn % 4 = 0) AS dreamed, greatest(count(*) FILTER (turn % 4 = 2) - count(*) FILTER (turn % 4 = 0), 0) AS pending, max(turn) AS modified FROM conversations GROUP BY conv_id")
 def agg17_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("from_user"), F.count_if(F.length("text") > 200).alias("long_messages"), F.max("turn").alias("last_turn")
-    )
+    ending = F.when(F.col("turn") % 4 == 0, ".enriched.json").when(F.col("turn") % 4 == 1, "_raw.json").when(F.col("turn") % 4 == 2, ".json").otherwise(".txt")
+    files = table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.concat(F.lit("d"), F.col("turn").cast("string"), ending).alias("name"), F.col("turn").alias("modified"))
+    return Y.session_list(files)
 
 
-@query("""WITH d AS (SELECT user_id, event_type, count(*) AS n, round(sum(value), 1) AS v FROM events GROUP BY ALL)
-SELECT user_id, CAST(sum(n) AS BIGINT) AS hits, count(*) AS kinds, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS trajectory FROM d GROUP BY user_id""")
+@query("""WITH d AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id AS session, CAST(sum(n) AS BIGINT) AS hits, count(*) AS nodes, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS trajectory FROM d GROUP BY user_id""")
 def agg18_review(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat(x["event_type"], F.lit(":"), x["n"].cast("string"))), ",")
-    return d.groupBy("user_id").agg(F.sum("n").alias("hits"), F.count("*").alias("kinds"), line.alias("trajectory"))
+    d = table(spark, sf, "events").groupBy(F.col("user_id").alias("session"), F.col("event_type").alias("id")).agg(F.count("*").alias("n"))
+    return Y.session_review(d)
 
 
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS turns FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM d)
-SELECT user_id, round(avg(turns), 6) AS baseline FROM r WHERE k <= 5 GROUP BY user_id""")
+SELECT c_custkey AS "user", round(coalesce(avg(turns), 5), 6) AS baseline FROM customer LEFT JOIN r ON user_id = c_custkey AND k <= 5 GROUP BY c_custkey""")
 def agg21_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("turns"))
-    k = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("day")))
-    return d.withColumn("k", k).where("k <= 5").groupBy("user_id").agg(F.round(F.avg("turns"), 6).alias("baseline"))
+    d = table(spark, sf, "events").groupBy(F.col("user_id").alias("user"), F.to_date("ts").alias("at")).agg(F.count("*").alias("turns"))
+    return Y.duration_baseline(d, table(spark, sf, "customer").select(F.col("c_custkey").alias("user"))).select("user", F.round("baseline", 6).alias("baseline"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {T.search_tokens_sql("text")} AS tok FROM documents), u AS (SELECT doc_id, unnest(list_distinct(tok)) AS term FROM t)
@@ -204,32 +201,29 @@ def agg22_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
 
 
-@query("SELECT p_brand AS home, p_type AS target, count(*) AS n FROM part GROUP BY ALL")
+@query("WITH e AS (SELECT p_brand AS home, unnest([p_type, p_name]) AS target FROM part) SELECT home, target, count(*) AS n FROM e GROUP BY ALL")
 def agg24_cross(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("home"), F.col("p_type").alias("target")).agg(F.count("*").alias("n"))
+    return Y.crossings(table(spark, sf, "part").select(F.col("p_brand").alias("home"), F.array("p_type", "p_brand", "p_name").alias("cross")))
 
 
 @query("""WITH p AS (SELECT conv_id, count(*) FILTER (role = 'system') AS s, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
 SELECT conv_id, round(100 * (0.1 * least(s, 1) + 0.4 * least(u / 4, 1) + 0.5 * least(a / 4, 1)), 2) AS pct FROM p""")
 def agg25_progress(spark: SparkSession, sf: str) -> DataFrame:
-    """Progress over weighted phases, the current one in part."""
-    n = lambda r: F.count_if(F.col("role") == r)
-    pct = 100 * (0.1 * F.least(n("system"), F.lit(1)) + 0.4 * F.least(n("user") / 4, F.lit(1)) + 0.5 * F.least(n("assistant") / 4, F.lit(1)))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.round(pct, 2).alias("pct"))
+    """Progress over weighted phases, the current one in part; roles without a weight count nothing."""
+    c = table(spark, sf, "conversations").groupBy("conv_id", F.col("role").alias("phase")).agg(F.count("*").alias("done"))
+    return Y.progress(c.withColumn("total", F.when(F.col("phase") == "system", 1).otherwise(4)), {"system": 0.1, "user": 0.4, "assistant": 0.5}, "conv_id")
 
 
 @query("SELECT conv_id, CAST(sum((length(text) + 20) // 4) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id")
 def agg26_context_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.expr("(length(text) + 20) div 4")).alias("tokens"))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(Y.context_tokens(F.col("text")).alias("tokens"))
 
 
 @query("""WITH r AS (SELECT o_orderpriority AS bucket, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
 SELECT bucket, n, o_orderkey AS sample FROM r WHERE k <= 5""")
 def agg28_preview(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("bucket"), "o_orderkey")
-    k = F.row_number().over(W.partitionBy("bucket").orderBy("o_orderkey"))
-    first = own.withColumn("k", k).where("k <= 5")
-    return first.join(own.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").select("bucket", "n", F.col("o_orderkey").alias("sample"))
+    return Y.previews(own, "bucket", "o_orderkey", 5)
 
 
 # -- dedup ----------------------------------------------------------------------------------------
@@ -296,9 +290,10 @@ def ded08_consolidation(spark: SparkSession, sf: str) -> DataFrame:
     return D.consolidation(n.where("type = 'anchor'"), n.where("type = 'slab'"), both, members, wide)
 
 
-@query("SELECT label, max(vec_id) AS vec_id, round(CAST(max(embedding[1]) AS DOUBLE), 6) AS similarity FROM embeddings GROUP BY label")
+@query("SELECT label AS id, round(max(CAST(embedding[1] AS DOUBLE)), 6) AS similarity FROM embeddings GROUP BY label")
 def ded11_max_per_id(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.max("vec_id").alias("vec_id"), F.round(F.max(F.col("embedding")[0].cast("double")), 6).alias("similarity"))
+    similar = table(spark, sf, "embeddings").select(F.col("label").alias("id"), F.col("embedding")[0].cast("double").alias("similarity"))
+    return Y.best_per_id(similar).select("id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH s AS (SELECT p_partkey, replace(p_name, ' ', '_') AS slug FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS n FROM s)
@@ -312,60 +307,52 @@ def ded12_slug_ids(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_brand, string_agg(p_name, '|' ORDER BY o) AS titles FROM r WHERE k <= 10 GROUP BY p_brand""")
 def ded13_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct titles of a cluster in their order, ten at most."""
-    first = table(spark, sf, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("o"))
-    titles = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o", "p_name"))), lambda x: x["p_name"]), 1, 10)
-    return first.groupBy("p_brand").agg(F.array_join(titles, "|").alias("titles"))
+    return Y.distinct_titles(table(spark, sf, "part"), "p_brand", "p_partkey", "p_name").select("p_brand", F.array_join("titles", "|").alias("titles"))
 
 
 # -- sets -----------------------------------------------------------------------------------------
 @query("""WITH u AS (SELECT p_size AS id, p_brand AS collection, p_partkey AS ord FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY collection, ord) AS n FROM u) SELECT id, collection, ord FROM r WHERE n = 1""")
 def set01_merged_view(spark: SparkSession, sf: str) -> DataFrame:
     """The union of collections, the first in sorted order winning an id."""
-    rows = table(spark, sf, "part").select(F.col("p_size").alias("id"), F.col("p_brand").alias("collection"), F.col("p_partkey").alias("ord"))
-    first = rows.groupBy("id").agg(F.min(F.struct("collection", "ord")).alias("m"))
-    return first.select("id", "m.collection", "m.ord")
+    return Y.merged_view(table(spark, sf, "part").select(F.col("p_size").alias("id"), F.col("p_brand").alias("collection"), F.col("p_partkey").alias("ord")))
 
 
 @query("""WITH u AS (SELECT p_size AS id, p_brand AS collection, p_partkey AS ord FROM part WHERE p_brand IN ('Brand#2', 'Brand#17')), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY collection, ord) AS n FROM u) SELECT id, collection, ord FROM r WHERE n = 1""")
 def set02_subset(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").where(F.col("p_brand").isin("Brand#2", "Brand#17"))
-    first = rows.groupBy(F.col("p_size").alias("id")).agg(F.min(F.struct(F.col("p_brand").alias("collection"), F.col("p_partkey").alias("ord"))).alias("m"))
-    return first.select("id", "m.collection", "m.ord")
+    rows = table(spark, sf, "part").select(F.col("p_size").alias("id"), F.col("p_brand").alias("collection"), F.col("p_partkey").alias("ord"))
+    return Y.merged_view(rows, ["Brand#2", "Brand#17"])
 
 
 @query(f"{GRAPH} SELECT id FROM nodes UNION SELECT src FROM edges UNION SELECT dst FROM edges")
 def set03_all_ids(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
-    return nodes(spark, sf).select("id").union(e.select("src")).union(e.select("dst")).distinct()
+    return Y.all_ids([nodes(spark, sf), e.select(F.col("src").alias("id")), e.select(F.col("dst").alias("id"))])
 
 
-@query("SELECT DISTINCT source FROM documents INTERSECT SELECT 'src' || r_regionkey FROM region EXCEPT SELECT 'src0'")
+@query("SELECT DISTINCT source AS collection FROM documents INTERSECT SELECT 'src' || r_regionkey FROM region EXCEPT SELECT 'src0'")
 def set04_active(spark: SparkSession, sf: str) -> DataFrame:
-    found = table(spark, sf, "documents").select("source").distinct()
-    active = table(spark, sf, "region").select(F.concat(F.lit("src"), F.col("r_regionkey").cast("string")).alias("source"))
-    return found.intersect(active).where("source <> 'src0'")
+    found = table(spark, sf, "documents").select(F.col("source").alias("collection"))
+    active = table(spark, sf, "region").select(F.concat(F.lit("src"), F.col("r_regionkey").cast("string")).alias("collection"))
+    return Y.active_set(active, found, active.where("collection = 'src0'"))
 
 
 @query(f"{GRAPH} SELECT id FROM nodes WHERE type = 'slab' AND id NOT IN (SELECT dst FROM edges WHERE type = 'INVOKES')")
 def set05_unreferenced(spark: SparkSession, sf: str) -> DataFrame:
-    used = edges(spark, sf).where("type = 'INVOKES'").select(F.col("dst").alias("id"))
-    return nodes(spark, sf).where("type = 'slab'").select("id").join(used, "id", "left_anti")
+    return Y.unreferenced(nodes(spark, sf).where("type = 'slab'"), edges(spark, sf).where("type = 'INVOKES'").select(F.col("dst").alias("ref")))
 
 
 @query("WITH u AS (SELECT 'part' AS type, p_partkey AS id FROM part UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT 'nation', n_nationkey FROM nation) SELECT id, count(DISTINCT type) AS types FROM u GROUP BY id HAVING count(DISTINCT type) > 1")
 def set06_duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [table(spark, sf, t).select(F.lit(t).alias("type"), F.col(c).cast("long").alias("id")) for t, c in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"))]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("id").agg(F.countDistinct("type").alias("types")).where("types > 1")
+    return Y.duplicated_ids({t: table(spark, sf, t).select(F.col(c).cast("long").alias("id")) for t, c in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"))})
 
 
-@query("SELECT d.doc_id FROM documents d WHERE d.n_chars > 3000 AND d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("SELECT d.doc_id AS id FROM documents d WHERE d.n_chars > 3000 AND d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def set07_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    scope = table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf, "documents").where("n_chars > 3000").select("doc_id").join(scope, "doc_id", "left_semi")
+    scope = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return Y.within(table(spark, sf, "documents").where("n_chars > 3000").select(F.col("doc_id").alias("id")), scope)
 
 
-@query("SELECT doc_id FROM documents EXCEPT (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 0)")
+@query("SELECT doc_id AS id FROM documents EXCEPT (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 0)")
 def set08_excluded(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "labels")
-    out = labels.where("toxic = 1").select("doc_id").union(labels.where("quality = 0").select("doc_id")).distinct()
-    return table(spark, sf, "documents").select("doc_id").distinct().join(out, "doc_id", "left_anti")
+    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
+    return Y.without(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), [labels.where("toxic = 1"), labels.where("quality = 0")])

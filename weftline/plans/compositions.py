@@ -12,6 +12,7 @@ from weftline.functions import text as T
 from weftline.functions import vectors as V
 from weftline.operators import graph as G
 from weftline.operators import synthesis as Y
+from weftline.operators import tallies as Y2
 from weftline.plans.corpus import EDGES_SQL, NODES_SQL, edges, nodes
 from weftline.plans.graphs import _rank_sql
 from weftline.plans.registry import Registry
@@ -84,13 +85,17 @@ def ded05_already_held(spark: SparkSession, sf: str) -> DataFrame:
     return Y.already_held(e.select("id", name(F.col("id")), "v", "block"), held, 0.3)
 
 
-@query(f"""WITH {GRAPH}, a AS (SELECT dst AS anchor, min(src) AS slab, count(DISTINCT src) AS n FROM edges WHERE type = 'PARENT_OF' GROUP BY dst) SELECT slab, count(*) AS inlined, min(anchor) AS first FROM a JOIN nodes ON id = anchor WHERE n = 1 AND ord % 2 = 0 GROUP BY slab""")
+@query(f"""WITH {GRAPH}, a AS (SELECT dst AS anchor, min(src) AS slab, count(DISTINCT src) AS n FROM edges WHERE type = 'PARENT_OF' GROUP BY dst), g AS (SELECT slab, anchor FROM a JOIN nodes ON id = anchor WHERE n = 1 AND ord % 2 = 0 AND type = 'anchor')
+SELECT slab, count(*) AS inlined, min(anchor) AS first FROM g GROUP BY slab UNION ALL SELECT 'kept', (SELECT count(*) FROM nodes WHERE type = 'anchor' AND id NOT IN (SELECT anchor FROM g)), CAST((SELECT count(*) FROM edges WHERE src NOT IN (SELECT anchor FROM g) AND dst NOT IN (SELECT anchor FROM g)) AS VARCHAR)""")
 def ded09_inline(spark: SparkSession, sf: str) -> DataFrame:
-    """Demoted anchors written into their slab."""
-    own = edges(spark, sf).where("type = 'PARENT_OF'").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("slab"), F.countDistinct("src").alias("n")).where("n = 1")
-    out = own.join(nodes(spark, sf).where("ord % 2 = 0").select("id"), "id", "left_semi")
-    inline = out.groupBy("slab").agg(F.array_sort(F.collect_list("id")).alias("anchors"))
-    return inline.select("slab", F.size("anchors").cast("long").alias("inlined"), F.col("anchors")[0].alias("first"))
+    """Demoted anchors, those of a single parent, written into it, and what is left of the edges."""
+    n, e = nodes(spark, sf), edges(spark, sf)
+    own = e.where("type = 'PARENT_OF'").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"), F.countDistinct("src").alias("n")).where("n = 1")
+    verdicts = n.where("type = 'anchor'").join(own, "id", "left").select("id", "parent", F.when((F.col("ord") % 2 == 0) & F.col("parent").isNotNull(), "DEMOTE").otherwise("KEEP").alias("verdict"))
+    kept, left, inline = Y2.inlined(n.where("type = 'anchor'").select("id", F.col("label").alias("phrase")), verdicts, e)
+    first = inline.select("slab", F.size("inline").cast("long").alias("inlined"), F.col("inline")[0]["id"].alias("first"))
+    rest = kept.agg(F.lit("kept").alias("slab"), F.count("*").alias("inlined")).crossJoin(left.agg(F.count("*").cast("string").alias("first")))  # one row each
+    return first.unionByName(rest)
 
 
 @query()

@@ -17,6 +17,7 @@ from weftline.plans.corpus import EDGES_SQL, NODES_SQL, edges, nodes
 from weftline.plans.registry import Registry
 from weftline.session import scratch_root, ship
 from weftline.sources import conversations as C
+from weftline.operators import tallies as T2
 from weftline.sources import stores
 from weftline.sources.tables import table
 
@@ -134,10 +135,11 @@ def win11_accepted_spine(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM documents WHERE source IN ('src1', 'src2')")
 def set09_rebound(spark: SparkSession, sf: str) -> DataFrame:
-    """A merged view bound to a name and read by it."""
+    """A merged view bound to a name, bound anew, and read by it."""
     name = f"merged_{uuid.uuid4().hex}"
-    table(spark, sf, "documents").where(F.col("source").isin("src1", "src2")).createOrReplaceTempView(name)
-    return spark.sql(f"SELECT count(*) AS n FROM {name}")
+    rows = table(spark, sf, "documents")
+    T2.bound_view(rows, name)
+    return T2.bound_view(rows.where(F.col("source").isin("src1", "src2")), name).agg(F.count("*").alias("n"))
 
 
 @query("SELECT a.item_id AS a, a.item_id + 1 AS b, true AS bounded FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
