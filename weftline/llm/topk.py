@@ -33,8 +33,8 @@ class KdTree:
     """Nodes in arrays; a node's rows are order[start:stop]. Splits halve the rows, so the depth is logarithmic."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        self.points = points
-        self.widest = int(np.abs(points.astype(np.float64)).max()) if points.size else 0
+        self.points, self.floats = points, points.astype(np.float64)
+        self.widest = float(np.abs(self.floats).max()) if points.size else 0.0
         self.order = np.arange(len(points))
         self.low, self.high, self.spans, self.children = [], [], [], []
         todo = [(0, len(points), -1)]
@@ -62,19 +62,27 @@ class KdTree:
         """No less than the greatest inner product of each query with a point of each node's box."""
         return box_bounds(queries, self.low, self.high)
 
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
-        """Inner products as whole numbers; one beyond a long is the nearest long."""
+    def scores(self, rows: np.ndarray, query: np.ndarray, greatest: float) -> np.ndarray:
+        """Inner products as whole numbers; one beyond a long is the nearest long. None exceeds ``greatest``.
+
+        Floating point is exact below 2**53 and a long below 2**63; beyond that Python's numbers are.
+        """
+        if greatest < 1 << 53:
+            return self.floats[rows] @ query
         points = self.points[rows]
-        if float(np.abs(query.astype(np.float64)).sum()) * self.widest < 1 << 62:
-            return (points @ query).tolist()
+        if greatest < 1 << 62:
+            return points @ query
         whole = (sum(a * b for a, b in zip(p, query.tolist(), strict=True)) for p in points.tolist())
-        return [min(max(s, _LEAST), _MOST) for s in whole]
+        return np.array([min(max(s, _LEAST), _MOST) for s in whole], dtype=np.int64)
 
     def search(self, query: np.ndarray, bound: np.ndarray, ids: np.ndarray, own: int, k: int, kth: int | None) -> list[tuple[int, int]]:
         """Up to k (score, id) of at least ``kth``, best first; ``own`` is left out."""
         least = -float("inf") if kth is None else kth
         best: list[tuple[int, int]] = []  # a heap whose root is the worst: lowest score, then greatest id
         heap = [(-bound[0], 0)]
+        greatest = float(np.abs(query.astype(np.float64)).sum()) * self.widest
+        if greatest < 1 << 53:
+            query = query.astype(np.float64)
         while heap:
             upper, node = heapq.heappop(heap)
             if -upper < least:
@@ -86,8 +94,10 @@ class KdTree:
                 continue
             start, stop = self.spans[node]
             rows = self.order[start:stop]
-            for s, i in zip(self.scores(rows, query), ids[rows].tolist(), strict=True):
-                if i == own or s < least:
+            score = self.scores(rows, query, greatest)
+            near = np.flatnonzero(score >= least)
+            for s, i in zip(map(int, score[near].tolist()), ids[rows[near]].tolist(), strict=True):
+                if i == own:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
