@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import render
 from weftline.operators import miners, outline, records
 from weftline.session import ship
+from weftline.sources import docx
 
 
 def test_marked_sections_tile_the_text():
@@ -97,3 +98,11 @@ def test_headings_and_concepts(spark):
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "p string")
     got = {r.p: r.h for r in df.select("p", records.is_heading(F.col("p")).alias("h")).collect()}
     assert got == cases | {None: True}
+
+
+def test_word_documents():
+    rows = [(1, "Table of Contents"), (None, "1 Intro ... 3"), (1, "Intro & more"), (None, "text <here>"), (3, "Deep"), (None, "more")]
+    raw = docx.written(rows)
+    assert docx.paragraphs(raw) == [{"level": n, "text": t} for n, t in rows]
+    assert docx.markdown(raw) == "# Intro & more\n\ntext <here>\n\n### Deep\n\nmore"
+    assert docx.paragraphs(b"no zip") == [] == docx.paragraphs(None) and docx.markdown(b"") == ""

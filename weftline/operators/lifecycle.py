@@ -160,3 +160,19 @@ def chat_closed(messages: DataFrame, chats: DataFrame, chat: str) -> tuple[DataF
     turns = own.agg(F.count_if(F.col("role") == "user").alias("turns")).where("turns >= 1").select(F.lit(chat).alias("chat"), "turns")
     status = F.when(F.col("id") == chat, "CLOSED").otherwise(F.col("status"))
     return own.orderBy("turn"), turns, chats.withColumn("status", status)
+
+
+def commit_preview(drafts: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, neighbours, cascade, facts_ok, missing) of ``drafts(id)``: what a commit of each would touch, without doing it.
+
+    Neighbours are nodes one edge away, the cascade those that point to the draft, ``facts(id, outcome)`` are all confirmed (or none are known),
+    and missing counts references ``(id, ref)`` to nodes that do not exist.
+    """
+    ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    near = ends.where("id <> other").join(nodes.select(F.col("id").alias("other")), "other", "left_semi").groupBy("id").agg(F.countDistinct("other").alias("neighbours"))
+    back = edges.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("cascade"))
+    checked = facts.groupBy("id").agg(F.bool_and(F.col("outcome") == "CONFIRMED").alias("ok"))
+    gone = missing_references(refs, nodes, "missing").groupBy("id").agg(F.count("*").alias("missing"))
+    out = drafts.select("id").join(near, "id", "left").join(back, "id", "left").join(checked, "id", "left").join(gone, "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("id", zero("neighbours"), zero("cascade"), F.coalesce("ok", F.lit(True)).alias("facts_ok"), zero("missing"))

@@ -6,7 +6,9 @@ merging and the fallbacks for answers that fail or lack a part, is done here, ro
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import render as R
@@ -16,6 +18,8 @@ from weftline.operators import aggregate as A
 from weftline.operators import dedup as D
 from weftline.operators import segment as G
 from weftline.operators import windows as S
+from weftline.operators.proposals import fresh_corpus
+from weftline.operators.records import is_heading
 
 # Characters of a message and of a segment in a prompt, the least segment, handles listed, categories of directives, least text of a slab,
 # batch of orphans, verdicts of a disambiguation.
@@ -199,3 +203,62 @@ def marked_sections(raw: str | None, marks: list[tuple[str, str]]) -> list[dict]
     found[0][1] = 0
     ends = [at for _, at in found[1:]] + [len(text)]
     return [{"label": label, "start": at, "end": end} for (label, at), end in zip(found, ends, strict=True) if text[at:end].strip()]
+
+
+_MARKS = "array<struct<label:string,starts_with:string>>"
+
+
+def outlined_by_model(docs: DataFrame, extractor: Extractor, digest: Column | None = None) -> DataFrame:
+    """(doc_id, n, label, start, end) of ``docs(doc_id, text)`` without headings: the sections that the model marks in a digest of the text.
+
+    Marks are sought in the whole text, each behind the one before; the sections tile the text from its beginning.
+    """
+    told = extracted(docs, F.concat(F.lit("DOCUMENT:\n"), F.col("text") if digest is None else digest), f"struct<sections:{_MARKS}>", extractor)
+
+    @F.pandas_udf("array<struct<label:string,start:int,end:int>>")
+    def tiled(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([marked_sections(t, [(m["label"], m["starts_with"]) for m in (ms if ms is not None else [])]) for t, ms in zip(texts, marks, strict=True)])
+
+    rows = told.select("doc_id", F.posexplode(tiled("text", "found.sections")).alias("n", "s"))
+    return rows.select("doc_id", "n", "s.label", "s.start", "s.end")
+
+
+def drilled(sections: DataFrame, extractor: Extractor, base: int = 1000, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Slabs (doc_id, path, n, title, text, position) and spine edges (doc_id, src, dst) of ``sections(doc_id, place, path, text)``: one prompt a leaf.
+
+    A slab's position is its leaf's place times ``base`` plus its number; the spine leads from each slab to the next one of the document.
+    """
+    prompts = sections.where(F.length(_plain("text")) >= SEGMENT_LEAST).select(F.struct("doc_id", "place", "path").alias("key"), F.col("path").alias("topic"), F.concat(F.lit("SECTION: "), "path", F.lit("\n"), "text").alias("prompt"))
+    slabs = proposals(prompts, extractor, least).where("type = 'slab'").select("key.doc_id", "key.path", "n", "title", "text", (F.col("key.place") * base + F.col("n")).alias("position"))
+    spine = S.sequence_edges(slabs.select("doc_id", "position", F.col("position").alias("id")), ["doc_id"], ["position"])
+    return slabs, spine
+
+
+def leaves(sections: DataFrame, most: int) -> DataFrame:
+    """(doc_id, place, path, text) of ``sections(doc_id, idx, path, text)``: those without sections below them; a text longer than ``most`` is cut into parts.
+
+    The parts of a dense section are its sub-sections, ``path / 1`` and on.
+    """
+    below = sections.select("doc_id", F.col("path").alias("other"))
+    inner = sections.select("doc_id", "path").join(below, "doc_id").where(F.startswith("other", F.concat("path", F.lit(" / ")))).select("doc_id", "path").distinct()
+    leaf = sections.join(inner, ["doc_id", "path"], "left_anti")
+    parts = G.segmented(leaf.withColumn("whole", F.length("text")), most)
+    several = F.max("segment").over(W.partitionBy("doc_id", "idx")) > 0
+    return parts.select("doc_id", (F.col("idx") * 100 + F.col("segment")).alias("place"), F.when(several, F.concat("path", F.lit(" / "), (F.col("segment") + 1).cast("string"))).otherwise(F.col("path")).alias("path"), F.col("part").alias("text"))
+
+
+def explicit(messages: DataFrame, extractor: Extractor, last: int = 10, most: int = 10) -> DataFrame:
+    """Proposals of the last messages of each chat, ``messages(chat, turn, role, text)``: no headings, the first ``most`` of a chat by confidence."""
+    k = F.row_number().over(W.partitionBy("chat").orderBy(F.desc("turn")))
+    tail = messages.withColumn("k", k).where(F.col("k") <= last).withColumn("line", F.concat(F.lit("["), "role", F.lit("] "), F.substring(F.coalesce("text", F.lit("")), 1, MESSAGE_CHARS)))
+    prompts = R.joined(tail, ["chat"], ["turn"], "line").select(F.col("chat").alias("key"), F.lit("").alias("topic"), F.col("text").alias("prompt"))
+    found = proposals(prompts, extractor).where(~((F.col("type") == "anchor") & is_heading(F.col("phrase"))))
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("confidence"), "n"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def remined(docs: DataFrame, extractor: Extractor, limit: int = 8000) -> dict[str, DataFrame]:
+    """A fresh corpus of ``docs(doc_id, text)``: mined, merged, and given ids of its content."""
+    found = document(docs, extractor, limit).select(F.struct("key", "n").alias("o"), "type", "phrase", "title", "text", F.col("label"), "aliases", "justification")
+    placed = found.withColumn("ord", F.xxhash64("o"))  # any order that reruns repeat
+    return fresh_corpus(placed, placed.limit(0).select("title", "ord", "phrase", "aliases"))

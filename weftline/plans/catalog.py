@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, compositions, details, drafts, extras, files, graphs, lookups, matching, mining, ranking, records, sequences, states, texts
+from weftline.plans import aggregates, archives, compositions, details, drafts, extras, files, graphs, lookups, matching, mining, ranking, records, sequences, states, texts
 
-FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states, texts, compositions, details, extras, matching, drafts, files, mining, records)
+FAMILIES = (ranking, aggregates, sequences, graphs, lookups, states, texts, compositions, details, extras, matching, drafts, files, mining, records, archives)
 
 
 def queries() -> dict:

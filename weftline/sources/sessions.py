@@ -211,3 +211,46 @@ def restored(frames: DataFrame, ids: DataFrame, session: str) -> DataFrame:
     some = saved.limit(1).select(F.lit(True).alias("some"))
     rebuilt = registry_from_ids(ids).join(F.broadcast(some), how="left").where("some is null").select("id", "type")  # one row at most
     return saved.unionByName(rebuilt)
+
+
+# -- collections and artefacts --------------------------------------------------------------------
+def listed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of a file that holds one list of objects, in JSON, which is YAML too; a missing file, or one that holds no list, has none."""
+    try:
+        text = spark.read.text(path, wholetext=True).where(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["))
+        return text.select(F.inline(F.from_json("value", F.lit(f"array<struct<{_ddl(schema)}>>"))))
+    except Exception as e:
+        if not _missing(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _ddl(schema: StructType | str) -> str:
+    fields = schema if isinstance(schema, str) else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    return ", ".join(":".join(part.strip().split(" ", 1)) for part in fields.split(","))
+
+
+def loaded(rows: DataFrame, persisted: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """``rows(id, collection, …)`` of the collections that are persisted as active and were found, without those absorbed into another."""
+    active = persisted.select("collection").distinct().join(absorbed.select("collection"), "collection", "left_anti")
+    return rows.join(active, "collection", "left_semi")
+
+
+def collection_place(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(collection, path, error) of asked collections: their own folder, the old place for the default one, or an error."""
+    own = asked.select("collection").join(found.select("collection", "path"), "collection", "left")
+    return own.select("collection", "path", F.when(F.col("path").isNull(), F.concat(F.lit("unknown collection: "), "collection")).alias("error"))
+
+
+def save_artefact(rows: DataFrame, root: str, session: str, kind: str) -> int:
+    """Saves a session's frame, registry, stack, packets or edges as a whole."""
+    return replace(rows, f"{root}/session={session}/{kind}")
+
+
+def load_artefact(spark: SparkSession, root: str, session: str, kind: str, schema: StructType | str) -> DataFrame:
+    return current(spark, f"{root}/session={session}/{kind}", schema)
+
+
+def health_drafts(rows: DataFrame) -> DataFrame:
+    """Drafts with their label, the newest first (``place``)."""
+    return labelled_library(rows).withColumn("place", F.row_number().over(W.orderBy(F.desc("modified"), "file")) - 1)  # a row for each draft file
