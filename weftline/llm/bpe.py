@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.memory import released
 from weftline.session import ship
 
 #: Words of up to so many symbols share the batched tree.
@@ -358,6 +359,12 @@ def _spelled(docs: DataFrame, spec: str, digest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(shared.value)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.known = {}  # the worker lives on, and may never encode again
+
+    def encoded(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
@@ -378,7 +385,7 @@ def _spelled(docs: DataFrame, spec: str, digest: bool) -> DataFrame:
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, n_tokens long, ids array<int>, decoded string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), kinds)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.memory import released
 from weftline.llm.rows import field, packed, unpacked
 from weftline.operators.components import connected_components
 from weftline.session import Scratch, ship
@@ -245,7 +246,6 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.r_[0, np.flatnonzero(piece[1:] != piece[:-1]) + 1, len(lens)].tolist()
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield from _lines_of(batch.slice(a, b - a))
-        pa.default_memory_pool().release_unused()
 
 
 def _lines_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,7 @@ def line_table(own: DataFrame, scratch: Scratch) -> DataFrame:
     """
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot = F.when(F.col("n") == 0, F.xxhash64("line", "first.doc_id", "first.row_key", "first.line_no")).otherwise(F.xxhash64("line"))
-    rows = own.mapInArrow(_split, _SPLIT).select(slot.alias("slot"), F.monotonically_increasing_id().alias("row"), "line", "text", "n", "first", "places")
+    rows = own.mapInArrow(released(_split), _SPLIT).select(slot.alias("slot"), F.monotonically_increasing_id().alias("row"), "line", "text", "n", "first", "places")
     return scratch.save_bucketed(rows.repartition(n, "slot"), "slot", n)
 
 
@@ -617,8 +617,8 @@ def line_links(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
     # parts of half a run in the mean, and several a partition
     parts = max(rows.count() * 2 * BANDS / run, 4 * n)
     members = (
-        rows.select("slot", "text").mapInArrow(_packed(min(int(np.ceil(np.log2(parts))), 30)), _PACKED)
-        .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_buckets(block, run), _MEMBERS).distinct()
+        rows.select("slot", "text").mapInArrow(released(_packed(min(int(np.ceil(np.log2(parts))), 30))), _PACKED)
+        .repartition(n, "part").sortWithinPartitions("part").mapInArrow(released(_buckets(block, run)), _MEMBERS).distinct()
     )
     members = scratch.save(members, dictionary=False)
     scratch.tidy()
@@ -627,7 +627,7 @@ def line_links(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
         named = groups.hint("shuffle_hash").join(_heads(lines).drop("total"), "slot")
         texts = _on_slot(named, rows.select("slot", "row", "text"), "row")
         dealt = texts.select("key", "lo", "hi", "block", "line", "text").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block", "line")
-        return dealt.mapInArrow(_links(similarity), "a binary, b binary")
+        return dealt.mapInArrow(released(_links(similarity)), "a binary, b binary")
 
     groups, many = _pair_groups(members)
     found = scratch.save(verified(groups), dictionary=False)

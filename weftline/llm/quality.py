@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.memory import released
 from weftline.session import ship
 
 #: Bytes a chunk is long, and how far the next one begins: each byte lies in two chunks.
@@ -197,7 +198,7 @@ def scores(docs: DataFrame, net: ByteNet, column: str = "text") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.score(_utf8(t.as_py())) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(released(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,11 +221,12 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        return pd.Series([own.score(_utf8(t)) for t in texts], dtype="float64")
+        for b in batches:
+            texts = b.column(at).cast(pa.string())
+            yield b.filter(pa.array([own.score(_utf8(t.as_py())) >= threshold for t in texts], pa.bool_()))
 
-    return docs.where(score(F.col("text").cast("string")) >= threshold)
+    return docs.mapInArrow(released(run), docs.schema)

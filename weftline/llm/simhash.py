@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
+from weftline.llm.memory import released
 from weftline.session import Scratch, ship
 
 SEED = 42
@@ -54,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     ship(docs.sparkSession)
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(released(run), "doc_id long, text_key long, fp long")
 
 
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
