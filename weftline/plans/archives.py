@@ -22,6 +22,7 @@ from weftline.sources import conversations as C
 from weftline.sources import docx as X
 from weftline.sources import sessions as S
 from weftline.sources.tables import table
+from weftline.streaming import sessions as Z
 
 registry = Registry()
 query = registry.query
@@ -269,3 +270,27 @@ def udf14_remined(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     answer = {"proposals": [{"type": "anchor", "canonical_phrase": "Word"}]}
     return N.remined(table(spark, sf, "documents").select("doc_id", "text"), lambda _: answer)["anchors"].select("id", "phrase")
+
+
+@query("SELECT user_id, count(*) AS drafts FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def str08_after_completion(spark: SparkSession, sf: str) -> DataFrame:
+    """Drafts of the sessions whose stream has ended, made by a second stream in two calls, each event once."""
+    base = _folder(spark)
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    schema = e.schema
+
+    def handle(batch: DataFrame, _: int) -> None:
+        batch.where("event_type = 'purchase'").select("user_id", "event_id").write.mode("append").parquet(f"{base}/drafts")
+
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        e.where(part).write.mode("append").parquet(f"{base}/in")
+        if not Z.after_completion(spark.readStream.schema(schema).parquet(f"{base}/in"), handle, f"{base}/check"):
+            raise RuntimeError("the stream did not end in time")
+    return spark.read.schema("user_id long, event_id long").parquet(f"{base}/drafts").groupBy("user_id").agg(F.count("*").alias("drafts"))
+
+
+@query("""WITH p AS (SELECT user_id AS job, event_type AS phase, min(event_id) AS began, max(event_id % 10) AS done FROM events GROUP BY ALL)
+SELECT job, phase, began, lead(began) OVER (PARTITION BY job ORDER BY began, phase) AS ended, done, lead(began) OVER (PARTITION BY job ORDER BY began, phase) IS NULL AS current FROM p""")
+def str09_phases(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), F.col("event_type").alias("phase"), (F.col("event_id") % 10).alias("done"), F.lit(10).alias("total"))
+    return Z.phase_history(e).drop("total")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.windows import BASELINE, THRESHOLDS, WEIGHTS, WINDOW
@@ -26,7 +28,14 @@ def assess(history: list[tuple[float, float, float]], start: int, turn: int, mod
     return {"turn": turn, "affect": signals[0], "volatility": signals[1], "rigor": signals[2], "duration": duration, "composite": composite, "severity": severity, "window": n}
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+#: Time after which a session without rows is forgotten: a week.
+IDLE_MS = 7 * 24 * 3600 * 1000
+
+
+def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     start, *columns = state.get if state.exists else (None, [], [], [])
     history = list(zip(*columns, strict=True))
     rows = pd.concat(list(frames)).sort_values("turn")
@@ -36,15 +45,22 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         history = [*history, (r.affect, r.volatility, r.rigor)][-WINDOW:]
         out.append({"session": key[0], **assess(history, int(start), int(r.turn), r.mode)})
     state.update((int(start), *[[float(h[k]) for h in history] for k in range(3)]))
+    state.setTimeoutDuration(idle)
     yield pd.DataFrame(out)
 
 
-def drift_stream(signals: DataFrame) -> DataFrame:
+def drift_stream(signals: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     """Assessments of a stream ``(session, turn, affect, volatility, rigor, mode)``; the state is a session's last 50 rows.
 
+    A session without rows for ``idle_ms`` is forgotten, so that states do not gather for ever.
+
     Rows of a batch are taken in order of their turn; a turn that comes in a later batch counts as later.
     """
-    return signals.groupBy("session").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _step(key, frames, state, idle_ms)
+
+    return signals.groupBy("session").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, topic: str = "topic"):
@@ -57,3 +73,25 @@ def run_to_table(stream: DataFrame, spark, path: str, checkpoint: str) -> DataFr
     query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path)
+
+
+def after_completion(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, limit_s: int = 600) -> bool:
+    """Hands the events that a stream holds now to ``handle(batch, number)``, once each; returns whether it ended within the limit.
+
+    The checkpoint remembers what was handled, so that a later call, or one after a failure, goes on behind it.
+    """
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    ended = query.awaitTermination(limit_s)
+    if not ended:
+        query.stop()
+    return bool(ended)
+
+
+def phase_history(events: DataFrame) -> DataFrame:
+    """(job, phase, began, ended, done, total, current) of ``events(job, at, phase, done, total)``: a row for each phase of a job.
+
+    A phase ends where the next one begins; the one that began last is current. Counters never go back.
+    """
+    each = events.groupBy("job", "phase").agg(F.min("at").alias("began"), F.max("done").alias("done"), F.max("total").alias("total"))
+    order = W.partitionBy("job").orderBy("began", "phase")
+    return each.withColumn("ended", F.lead("began").over(order)).select("job", "phase", "began", "ended", "done", "total", F.col("ended").isNull().alias("current"))
