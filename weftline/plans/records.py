@@ -172,9 +172,9 @@ def prj26_slabify(spark: SparkSession, sf: str) -> DataFrame:
     return R.joined_labels(table(spark, sf, "customer").withColumnRenamed("c_mktsegment", "collection"), "collection", "c_custkey", "c_name")
 
 
-@query("WITH s AS (SELECT user_id AS session, event_type AS id, round(avg(value), 4) AS v FROM events GROUP BY ALL) SELECT session, string_agg(id || '=' || printf('%.4f', v), ' ' ORDER BY id) AS frame, count(*) AS nodes FROM s GROUP BY session")
+@query("WITH s AS (SELECT user_id AS session, event_type AS id, round(avg(value) + 1e-9::DOUBLE, 4) AS v FROM events GROUP BY ALL) SELECT session, string_agg(id || '=' || printf('%.4f', v), ' ' ORDER BY id) AS frame, count(*) AS nodes FROM s GROUP BY session")
 def prj29_frame(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "events").groupBy(F.col("user_id").alias("session"), F.col("event_type").alias("id")).agg(F.avg("value").alias("salience"))
+    s = table(spark, sf, "events").groupBy(F.col("user_id").alias("session"), F.col("event_type").alias("id")).agg((F.avg("value") + 1e-9).alias("salience"))
     entry = F.transform(F.array_sort(F.map_entries("saliences")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))
     return R.frame_rows(s).select("session", F.array_join(entry, " ").alias("frame"), "nodes")
 
