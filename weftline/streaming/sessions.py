@@ -28,11 +28,7 @@ def assess(history: list[tuple[float, float, float]], start: int, turn: int, mod
     return {"turn": turn, "affect": signals[0], "volatility": signals[1], "rigor": signals[2], "duration": duration, "composite": composite, "severity": severity, "window": n}
 
 
-#: Time after which a session without rows is forgotten: a week.
-IDLE_MS = 7 * 24 * 3600 * 1000
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle: int) -> Iterator[pd.DataFrame]:
+def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -45,14 +41,16 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle: i
         history = [*history, (r.affect, r.volatility, r.rigor)][-WINDOW:]
         out.append({"session": key[0], **assess(history, int(start), int(r.turn), r.mode)})
     state.update((int(start), *[[float(h[k]) for h in history] for k in range(3)]))
-    state.setTimeoutDuration(idle)
+    if idle is not None:
+        state.setTimeoutDuration(idle)
     yield pd.DataFrame(out)
 
 
-def drift_stream(signals: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def drift_stream(signals: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Assessments of a stream ``(session, turn, affect, volatility, rigor, mode)``; the state is a session's last 50 rows.
 
-    A session without rows for ``idle_ms`` is forgotten, so that states do not gather for ever.
+    A continuous stream should name ``idle_ms``, after which a session without rows is forgotten, so that states do not gather for ever;
+    a run over what there is leaves it out, as a stream with such a limit has always one more batch to do.
 
     Rows of a batch are taken in order of their turn; a turn that comes in a later batch counts as later.
     """
@@ -60,7 +58,7 @@ def drift_stream(signals: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         return _step(key, frames, state, idle_ms)
 
-    return signals.groupBy("session").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return signals.groupBy("session").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, topic: str = "topic"):
