@@ -1,12 +1,14 @@
 """Joins on likeness against plain loops, and how many pairs they look at."""
 
 import difflib
+import functools
 import hashlib
+import math
 import random
 
 import pytest
 
-from weftline.operators import match
+from weftline.operators import match, neighbours
 
 
 def _plain(label, keys, ratio=0.85):
@@ -61,3 +63,37 @@ def test_only_alike_digests_are_paired(spark):
     near = digest[5][:9] + "x" + digest[5][10:20] + digest[5][21:]
     asked = spark.createDataFrame([(d,) for d in [*digest[600:], near, digest[7][3:]]], "key string")
     assert {(r.k0, r.k1) for r in match._near_keys(asked, index, 0.85).collect()} == {(near, digest[5]), (digest[7][3:], digest[7])}
+
+
+def _cosine(a, b):
+    dot = lambda x, y: functools.reduce(lambda s, pq: s + pq[0] * pq[1], zip(x, y, strict=True), 0.0)  # noqa: E731  sum() corrects its errors
+    n = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+    return dot(a, b) / n if n else 0.0
+
+
+@pytest.mark.parametrize("k, least, strict, others, bounded", [(3, 0.2, False, True, False), (1, 0.3, True, False, False), (1, -0.5, False, True, True), (4, -2.0, False, True, True)])
+def test_nearest_in_blocks_as_in_plain_loops(spark, monkeypatch, k, least, strict, others, bounded):
+    """Across tiles and strips, with copies that tie, a vector of no length, missing ones and ones of another size."""
+    monkeypatch.setattr(neighbours, "TILE", 20)
+    monkeypatch.setattr(neighbours, "STRIP", 7)
+    rng = random.Random(k)
+    vectors = [[float(rng.randint(-2, 2)) / 3 for _ in range(5)] for _ in range(12)] + [[0.0] * 5, [1.0, 2.0], None, [1.0, None, 1.0, 1.0, 1.0]]
+    rows = [(i, None if i % 31 == 0 else i % 3, (i * 7) % 50, vectors[rng.randrange(len(vectors))]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, block int, at int, v array<double>")
+    queries, corpus = (df.selectExpr("id", "block", "at + 5 AS at", "v"), df) if bounded else (df.drop("at"), df.drop("at"))
+    want = set()
+    whole = lambda r: r[1] is not None and r[3] is not None and None not in r[3]
+    for q in filter(whole, rows):
+        near = [(-_cosine(q[3], c[3]), c[0]) for c in filter(whole, rows) if c[1] == q[1] and len(c[3]) == len(q[3]) and not (others and c[0] == q[0]) and not (bounded and c[2] < q[2] + 5)]
+        near = sorted((s, i) for s, i in near if (-s > least if strict else -s >= least))[:k]
+        want |= {(q[0], i, -s, n + 1) for n, (s, i) in enumerate(near)}
+    got = neighbours.nearest_in_blocks(queries, corpus, k, least, strict, others)
+    assert {tuple(r) for r in got.select("query_id", "id", "similarity", "rank").collect()} == want and want
+
+
+@pytest.mark.parametrize("query", ["top08_affinity"])
+def test_vectors_meet_in_tiles_not_row_by_row(spark, sf, query):
+    from weftline.plans import catalog
+
+    plan = catalog.queries()[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "zip_with" not in plan

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import vectors as V
 from weftline.operators import rank as R
+from weftline.operators.neighbours import nearest_in_blocks
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -108,11 +109,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FR
 SELECT least(a, b) AS node_a, greatest(a, b) AS node_b, max(round(s, 6)) AS similarity FROM best WHERE r <= 3 GROUP BY 1, 2""")
 def top08_affinity(spark: SparkSession, sf: str) -> DataFrame:
     """Three nearest of each vector within its label, as unordered pairs."""
-    own = table(spark, sf, "embeddings")
-    a = own.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("u"))
-    b = own.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("v"))
-    sims = a.join(b, "label").where("a <> b").select("a", "b", V.cosine(F.col("u"), F.col("v")).alias("s")).where("s >= 0.3")
-    best = R.top_per_group(sims, ["a"], [F.desc("s"), F.col("b")], 3)
+    own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("v"))
+    best = nearest_in_blocks(own, own, 3, 0.3, others=True).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("similarity").alias("s"))
     return best.groupBy(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b")).agg(F.max(F.round("s", 6)).alias("similarity"))
 
 
