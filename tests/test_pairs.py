@@ -91,7 +91,7 @@ def test_nearest_in_blocks_as_in_plain_loops(spark, monkeypatch, k, least, stric
     assert {tuple(r) for r in got.select("query_id", "id", "similarity", "rank").collect()} == want and want
 
 
-@pytest.mark.parametrize("query", ["ded05_already_held", "top08_affinity"])
+@pytest.mark.parametrize("query", ["ded05_already_held", "joi14_supersession", "top08_affinity"])
 def test_vectors_meet_in_tiles_not_row_by_row(spark, sf, query):
     from weftline.plans import catalog
 
